@@ -9,7 +9,7 @@ from jointmill.operators.joins import skew_safe_lookup
 from jointmill.session import dropped, written
 
 #: Parts into which the interval of a group that isn't settled is cut in a round.
-PARTS = 1024
+PARTS = 32
 _LARGEST = 1.7976931348623157e308
 _W = "_jm_"
 
@@ -58,13 +58,15 @@ def top_n_per_group(
     by their smallest hash); pass unique=True if there are none. Groups smaller than n come out whole, n of 0 or null
     gives nothing, an empty table an empty result. Extra columns may have any name.
     """
-    names = rows.columns
+    names, kinds = rows.columns, dict(rows.dtypes)
     code = F.col(score).cast("double")
     falls = F.lit(descending) if isinstance(descending, bool) else descending
     g = [f"{_W}g{i}" for i in range(len(groups))]
+    text = kinds[identifier] == "string"
+    extra = [c for c in names if c not in groups and not (text and c == identifier)]
     base = rows.where(code.isNotNull() & ~F.isnan(code) & F.col(identifier).isNotNull())
     base = base.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias(f"{_W}row"), *[F.col(c).alias(x) for c, x in zip(groups, g, strict=True)],
+        F.struct(*[F.col(f"`{c}`") for c in extra]).alias(f"{_W}row"), *[F.col(c).alias(x) for c, x in zip(groups, g, strict=True)],
         (F.when(falls, -code).otherwise(code) + F.lit(0.0)).alias(f"{_W}k"), F.col(identifier).cast("string").alias(f"{_W}id"),
         (F.col(n) if isinstance(n, str) else F.lit(n)).cast("long").alias(f"{_W}need"),
     ).where(f"{_W}need > 0")
@@ -73,44 +75,41 @@ def top_n_per_group(
     base = written(base, "topn-rows")
     lo, hi, total = base.agg(F.min(f"{_W}k"), F.max(f"{_W}k"), F.count("*")).first()
     done: list[DataFrame] = []
-    # by_id: from how many characters of the identifier on this round compares; null while it compares scores
-    rest = base.withColumns({f"{_W}lo": F.lit(lo).cast("double"), f"{_W}hi": F.lit(hi).cast("double"), f"{_W}skip": F.lit(None).cast("int")})
-    for _ in range(max_rounds):
-        if lo is None:
+    group = F.struct(*g).alias(f"{_W}group")
+    rest = base
+    for turn in range(max_rounds):
+        if not total:
             break
-        digit = F.when(F.col(f"{_W}skip").isNull(), F.col(f"{_W}k")).otherwise(_id_digit(F.col(f"{_W}id"), F.col(f"{_W}skip")))
-        cut = rest.withColumn(f"{_W}d", digit).withColumn(f"{_W}p", _part(F.col(f"{_W}d"), F.col(f"{_W}lo"), F.col(f"{_W}hi"), parts))
-        key = F.struct(*g, f"{_W}p").alias(f"{_W}key")
-        counts = cut.groupBy(*g, f"{_W}p").agg(
-            F.count("*").alias("c"), F.max(f"{_W}need").alias("need"), F.min(f"{_W}k").alias("k0"), F.max(f"{_W}k").alias("k1"),
-            F.min(f"{_W}d").alias("d0"), F.max(f"{_W}d").alias("d1"), F.min(f"{_W}id").alias("i0"), F.max(f"{_W}id").alias("i1"),
-        )
+        if turn:  # each group's own interval; equal scores leave the identifier after its common start
+            ends = rest.groupBy(group).agg(F.count("*").alias("c"), F.min(f"{_W}k").alias("k0"), F.max(f"{_W}k").alias("k1"), F.min(f"{_W}id").alias("i0"), F.max(f"{_W}id").alias("i1"))
+            ends = ends.withColumn(f"{_W}skip", F.when(F.col("k0") == F.col("k1"), _common(F.col("i0"), F.col("i1"))))
+            skip, by_id = F.col(f"{_W}skip"), F.col(f"{_W}skip").isNotNull()
+            first, last = F.when(by_id, _id_digit(F.col("i0"), skip)).otherwise(F.col("k0")), F.when(by_id, _id_digit(F.col("i1"), skip)).otherwise(F.col("k1"))
+            ends = ends.select(f"{_W}group", "c", skip, first.alias(f"{_W}lo"), last.alias(f"{_W}hi"))
+            cut = skew_safe_lookup(rest.select(group, "*"), ends, f"{_W}group", "c", total).drop(f"{_W}group")
+            digit = F.when(by_id, _id_digit(F.col(f"{_W}id"), skip)).otherwise(F.col(f"{_W}k"))
+            part = _part(digit, F.col(f"{_W}lo"), F.col(f"{_W}hi"), parts)
+        else:
+            cut, part = rest, _part(F.col(f"{_W}k"), F.lit(lo), F.lit(hi), parts)
+        cut = cut.withColumn(f"{_W}p", part)
+        counts = cut.groupBy(*g, f"{_W}p").agg(F.count("*").alias("c"), F.max(f"{_W}need").alias("need"))
         before = Window.partitionBy(*g).orderBy(f"{_W}p").rowsBetween(Window.unboundedPreceding, -1)
         chosen = counts.withColumn("above", F.coalesce(F.sum("c").over(before), F.lit(0))).where("above < need")
-        same_score = F.col("k0") == F.col("k1")
-        skip = F.when(same_score, _common(F.col("i0"), F.col("i1")))
-        chosen = chosen.select(
-            key, "c", (F.col("above") + F.col("c") <= F.col("need")).alias(f"{_W}in"), (F.col("need") - F.col("above")).alias(f"{_W}left"),
-            skip.alias(f"{_W}s2"),
-            F.when(same_score, _id_digit(F.col("i0"), skip)).otherwise(F.col("k0")).alias(f"{_W}lo2"),
-            F.when(same_score, _id_digit(F.col("i1"), skip)).otherwise(F.col("k1")).alias(f"{_W}hi2"),
-        )
-        near = cut.select(key, f"{_W}row", *g, f"{_W}k", f"{_W}id")
-        step = written(
-            skew_safe_lookup(near, chosen, f"{_W}key", "c", total).select(
-                f"{_W}row", *g, f"{_W}k", f"{_W}id", f"{_W}in", F.col(f"{_W}left").alias(f"{_W}need"),
-                F.col(f"{_W}lo2").alias(f"{_W}lo"), F.col(f"{_W}hi2").alias(f"{_W}hi"), F.col(f"{_W}s2").alias(f"{_W}skip"),
-            ), "topn-step",
-        )
-        done.append(step.where(f"{_W}in").select(f"{_W}row.*"))
+        key = F.struct(*g, f"{_W}p").alias(f"{_W}key")
+        chosen = chosen.select(key, "c", (F.col("above") + F.col("c") <= F.col("need")).alias(f"{_W}in"), (F.col("need") - F.col("above")).alias(f"{_W}left"))
+        near = cut.select(key, f"{_W}row", f"{_W}k", f"{_W}id")
+        step = skew_safe_lookup(near, chosen, f"{_W}key", "c", total)
+        step = written(step.select(*[F.col(f"{_W}key.{x}").alias(x) for x in g], f"{_W}row", f"{_W}k", f"{_W}id", f"{_W}in", F.col(f"{_W}left").alias(f"{_W}need")), "topn-step")
+        done.append(step.where(f"{_W}in"))
         rest = step.where(f"not {_W}in").drop(f"{_W}in")
         total = rest.count()
-        if not total:
-            break
     else:
         raise RuntimeError(f"bisection did not settle in {max_rounds} rounds")
     dropped(base)
-    out = done[0] if done else rows.limit(0)
+    if not done:
+        return rows.limit(0)
+    out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    back = {c: F.col(x) for c, x in zip(groups, g, strict=True)} | ({identifier: F.col(f"{_W}id")} if text else {})
+    return out.select(*[back.get(c, F.col(f"{_W}row.`{c}`")).alias(c) for c in names])
