@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jointmill.functions.labels import split_name
+from jointmill.functions.paths import crop_key, plain_crop_id
+from jointmill.llm import entity_splits, feistel, overlap, quotas
 from jointmill.llm.topn import top_n_per_group
 from jointmill.session import table
 
@@ -25,5 +28,65 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("run_id", "label", "pred", "crop_id")
 
 
+#: Share of a choice's crops that p2_sample draws.
+SAMPLE_RATE = 0.2
+
+
+def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed, crop_id): of every seed the sample of the crops on its boards."""
+    crops = table(spark, sf_dir, "crops")
+    ids = crops.select(quotas.board_of("board", "dataset_path").alias("board"), crop_key("dataset_path", "polygon_rank_x").alias("crop_id")).distinct()
+    seeds = table(spark, sf_dir, "choices").select("seed", F.explode("boards").alias("board")).distinct()
+    return feistel.stable_sample(ids.join(seeds, "board"), "crop_id", SAMPLE_RATE, "seed").select("seed", "crop_id").distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "assignments").select("seed", "choice_index", plain_crop_id("crop_id").alias("crop_id"), split_name("split").alias("split"), "frozen_at")
+    lost = feistel.broken_promises(entries, table(spark, sf_dir, "choices"))
+    still = table(spark, sf_dir, "crops").select(crop_key("dataset_path", "polygon_rank_x").alias("crop_id")).distinct()
+    return lost.join(still, "crop_id", "left_semi").select("seed", "choice_index", "crop_id")
+
+
+#: Wanted shares of the splits.
+SHARES = {"train": 0.6, "val": 0.2, "test": 0.2}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos, _ = entity_splits.photo_components(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "tag_pairs"))
+    return entity_splits.linked_groups(photos)
+
+
+def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(crop_id, group_id, class_name, component, split) of every different crop."""
+    photos, _ = entity_splits.photo_components(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "tag_pairs"))
+    crops = entity_splits.crop_records(table(spark, sf_dir, "crops"), photos)
+    return entity_splits.entity_splits(crops, "component", "class_name", SHARES)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlap.cross_split_pairs(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "crops"))
+    return pairs.select("photo_id_a", "photo_id_b").distinct()
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(overlap.cross_split_pairs(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "crops")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, report = quotas.target_sample(table(spark, sf_dir, "crops"), table(spark, sf_dir, "targets"))
+    return report.where("short_by_count or short_by_share").select("target_id")
+
+
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotas.target_sample(table(spark, sf_dir, "crops"), table(spark, sf_dir, "targets"))[0]
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotas.target_sample(table(spark, sf_dir, "crops"), table(spark, sf_dir, "targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    named = [
+        p1_found, p2_found, p2_sample, p3_found, p3_split, p4_found, p4_report, p6_found, p6_sample, p6_report,
+    ]
+    return {f.__name__: f for f in named}
