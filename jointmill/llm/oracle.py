@@ -68,8 +68,19 @@ words as (select *, list_transform(range(8), lambda i: ('0x' || substr(print, i
 select distinct least(t.photo_id, e.photo_id) as photo_id_a, greatest(t.photo_id, e.photo_id) as photo_id_b
 from words t join words e on t.board = e.board and t.package = e.package and t.train and not e.train and t.photo_id <> e.photo_id
 where t.group_id = e.group_id or t.number = e.number or t.name = e.name
-  or bit_count(xor(t.w[1], e.w[1])) + bit_count(xor(t.w[2], e.w[2])) + bit_count(xor(t.w[3], e.w[3])) + bit_count(xor(t.w[4], e.w[4]))
-   + bit_count(xor(t.w[5], e.w[5])) + bit_count(xor(t.w[6], e.w[6])) + bit_count(xor(t.w[7], e.w[7])) + bit_count(xor(t.w[8], e.w[8])) <= 10
+  or bit_count(xor(t.w[1], e.w[1]))::int + bit_count(xor(t.w[2], e.w[2]))::int + bit_count(xor(t.w[3], e.w[3]))::int + bit_count(xor(t.w[4], e.w[4]))::int
+   + bit_count(xor(t.w[5], e.w[5]))::int + bit_count(xor(t.w[6], e.w[6]))::int + bit_count(xor(t.w[7], e.w[7]))::int + bit_count(xor(t.w[8], e.w[8]))::int <= 10
+"""
+
+P5_FOUND = f"""
+with r as (select distinct record_id, {_BOARD} as board, package, viewpoint, lower(image_name) as name,
+    (list_min(list_transform(points, lambda p: p[1])) + list_max(list_transform(points, lambda p: p[1]))) / 2 as x,
+    coalesce({_class('"class"')}, {_class('raw_label')}, {_class("split_part(merged_from, '+', 1)")}) as stated from polygons),
+g as (select *, coalesce(x - lag(x) over (partition by board, package, viewpoint, name order by x, record_id) >= 200, true) as starts from r),
+j as (select *, sum(starts::int) over (partition by board, package, viewpoint, name order by x, record_id) as joint from g)
+select min(record_id) as set_id, case min(case stated when 'insufficient' then 0 when 'spike' then 1 when 'excess' then 2 when 'normal' then 3 end)
+    when 0 then 'insufficient' when 1 then 'spike' when 2 then 'excess' when 3 then 'normal' end as class, joint::int as polygon_rank_x
+from j group by board, package, viewpoint, name, joint having count(distinct record_id) > 1
 """
 
 P6_FOUND = f"""
@@ -84,4 +95,4 @@ where have < min_count or have * 100 < share
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jointmill.functions.labels import split_name
 from jointmill.functions.paths import crop_key, plain_crop_id
-from jointmill.llm import entity_splits, feistel, overlap, quotas
+from jointmill.llm import entity_splits, feistel, fusion, mixture, overlap, pieces, quotas, tokens
 from jointmill.llm.topn import top_n_per_group
 from jointmill.session import table
 
@@ -72,6 +72,15 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(overlap.cross_split_pairs(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "crops")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = fusion.survivors(table(spark, sf_dir, "polygons"))
+    return best.where("several").select("set_id", "class", "polygon_rank_x")
+
+
+def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.survivors(table(spark, sf_dir, "polygons"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, report = quotas.target_sample(table(spark, sf_dir, "crops"), table(spark, sf_dir, "targets"))
     return report.where("short_by_count or short_by_share").select("target_id")
@@ -85,8 +94,34 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotas.target_sample(table(spark, sf_dir, "crops"), table(spark, sf_dir, "targets"))[1]
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_report(spark, sf_dir).where("short").select("mix_id", "source")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(table(spark, sf_dir, "mixture"), table(spark, sf_dir, "documents"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixed(table(spark, sf_dir, "mixture"), table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces.pieces(table(spark, sf_dir, "documents"), table(spark, sf_dir, "piece_limits"), with_text=False)
+    return cut.where("piece = 1").select("doc_id")
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(table(spark, sf_dir, "documents"), table(spark, sf_dir, "piece_limits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        p1_found, p2_found, p2_sample, p3_found, p3_split, p4_found, p4_report, p6_found, p6_sample, p6_report,
+        p1_found, p2_found, p2_sample, p3_found, p3_split, p4_found, p4_report, p5_found, p5_survivors, p6_found, p6_sample, p6_report,
+        p7_ids, p8_found, p8_report, p8_mix, p9_found, p9_pieces,
     ]
     return {f.__name__: f for f in named}
