@@ -23,11 +23,10 @@ def permuted(number: Column, seed: Column | int, bits: int = BITS, rounds: int =
     """Balanced Feistel network over 2**bits numbers: for every seed a bijection, computed without state."""
     half, mask = bits // 2, (1 << (bits // 2)) - 1
     seed = F.lit(seed).cast("long") if isinstance(seed, int) else seed.cast("long")
-    left, right = F.shiftrightunsigned(number, half).bitwiseAND(F.lit(mask)), number.bitwiseAND(F.lit(mask))
-    for r in range(rounds):
-        mixed = F.xxhash64(F.lit(r), seed, right).bitwiseAND(F.lit(mask))
-        left, right = right, left.bitwiseXOR(mixed)
-    return F.shiftleft(left, half).bitwiseOR(right)
+    start = F.struct(F.shiftrightunsigned(number, half).bitwiseAND(F.lit(mask)).alias("l"), number.bitwiseAND(F.lit(mask)).alias("r"))
+    turn = lambda s, r: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(F.xxhash64(r, seed, s["r"]).bitwiseAND(F.lit(mask))).alias("r"))
+    # a fold keeps the expression small: written out, each round would hold the one before it twice
+    return F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), start, turn, lambda s: F.shiftleft(s["l"], half).bitwiseOR(s["r"]))
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
