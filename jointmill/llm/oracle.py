@@ -1,5 +1,9 @@
 """SQL for the queries that SQL can express at reasonable cost."""
 
+from __future__ import annotations
+
+from jointmill.plans.sql import BOARD, CROP, NUMBER, joint_class, plain, split_name
+
 P1_FOUND = """
 with ok as (
   select distinct run_id, label, pred, crop_id, score, scored_at from predictions
@@ -12,43 +16,24 @@ qualify row_number() over (
   partition by run_id, label, pred order by case when pred = 0 then score else -score end, crop_id) <= 3
 """
 
-def _plain(p: str) -> str:
-    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    return rf"regexp_replace(regexp_replace(replace(trim({p}, {blanks}), chr(92), '/'), '/+', '/', 'g'), '^(\./)+', '')"
-
-
-def _class(c: str) -> str:
-    x = f"lower(trim({c}))"
-    return f"case when {x} in ('normal', 'good') then 'normal' when {x} in ('excess', 'exc_solder') then 'excess' when {x} in ('insufficient', 'poor_solder') then 'insufficient' when {x} = 'spike' then 'spike' end"
-
-
-def _split(c: str) -> str:
-    x = f"lower(trim({c}))"
-    return f"case when {x} in ('train', 'training') then 'train' when {x} in ('val', 'valid', 'validation') then 'val' when {x} in ('test', 'testing') then 'test' end"
-
-
-_BOARD = f"coalesce(board, nullif(split_part({_plain('dataset_path')}, '/', 2), ''))"
-_NUMBER = r"""regexp_replace(coalesce(nullif(regexp_extract(component_hint, '(\d+)', 1), ''),
-  nullif(regexp_extract(image_name, '_C(\d+)\.[^.]*$', 1), '')), '^0+(\d)', '\1')"""
-_CROP = f"{_plain('dataset_path')} || '#' || trim(polygon_rank_x)"
 _PHOTOS = f"""
-photos as (select distinct photo_id, {_plain('dataset_path')} as path, {_BOARD} as board, package, viewpoint,
-  lower(image_name) as name, nullif(trim(group_id), '') as group_id, {_NUMBER} as number,
+photos as (select distinct photo_id, {plain('dataset_path')} as path, {BOARD} as board, package, viewpoint,
+  lower(image_name) as name, nullif(trim(group_id), '') as group_id, {NUMBER} as number,
   regexp_replace(lower(trim(fingerprint)), '^0x', '') as print from photo_groups)"""
 
 P2_FOUND = f"""
 with e as (select distinct seed, choice_index,
-    {_plain("substr(crop_id, 1, length(crop_id) - length(split_part(crop_id, '#', -1)) - 1)")} || '#' || trim(split_part(crop_id, '#', -1)) as crop_id,
-    {_split('split')} as split from assignments)
+    {plain("substr(crop_id, 1, length(crop_id) - length(split_part(crop_id, '#', -1)) - 1)")} || '#' || trim(split_part(crop_id, '#', -1)) as crop_id,
+    {split_name('split')} as split from assignments)
 select distinct c.seed, c.choice_index, was.crop_id from (select distinct seed, choice_index from choices) c
 join e was on was.seed = c.seed and was.choice_index = c.choice_index - 1 and was.split in ('val', 'test')
 left join e now on now.seed = c.seed and now.choice_index = c.choice_index and now.crop_id = was.crop_id
-where now.split is distinct from was.split and was.crop_id in (select {_CROP} from crops)
+where now.split is distinct from was.split and was.crop_id in (select {CROP} from crops)
 """
 
 P3_FOUND = f"""
 with recursive {_PHOTOS},
-members as (select list_sort(list_distinct(list_transform(m, lambda x: {_plain('x')}))) as m from (select unnest(member_groups) as m from tag_pairs)),
+members as (select list_sort(list_distinct(list_transform(m, lambda x: {plain('x')}))) as m from (select unnest(member_groups) as m from tag_pairs)),
 keys as (
   select photo_id, 'g' || group_id as k from photos where group_id is not null
   union select photo_id, 'p' || board || '|' || package || '|' || viewpoint || '|' || name from photos
@@ -63,7 +48,7 @@ join photos x on x.photo_id = a join photos y on y.photo_id = b where x.group_id
 P4_FOUND = f"""
 with {_PHOTOS},
 sides as (select distinct photo_id, photos.board, package, group_id, number, name, case when regexp_matches(print, '^[0-9a-f]{{64}}$') and not regexp_matches(print, '^0+$') then print end as print, split = 'train' as train
-  from photos join (select distinct {_plain('dataset_path')} as path, {_split('split')} as split from crops) s using (path) where split is not null),
+  from photos join (select distinct {plain('dataset_path')} as path, {split_name('split')} as split from crops) s using (path) where split is not null),
 words as (select *, list_transform(range(8), lambda i: ('0x' || substr(print, i * 8 + 1, 8))::bigint) as w from sides)
 select distinct least(t.photo_id, e.photo_id) as photo_id_a, greatest(t.photo_id, e.photo_id) as photo_id_b
 from words t join words e on t.board = e.board and t.package = e.package and t.train and not e.train and t.photo_id <> e.photo_id
@@ -73,9 +58,9 @@ where t.group_id = e.group_id or t.number = e.number or t.name = e.name
 """
 
 P5_FOUND = f"""
-with r as (select distinct record_id, {_BOARD} as board, package, viewpoint, lower(image_name) as name,
+with r as (select distinct record_id, {BOARD} as board, package, viewpoint, lower(image_name) as name,
     (list_min(list_transform(points, lambda p: p[1])) + list_max(list_transform(points, lambda p: p[1]))) / 2 as x,
-    coalesce({_class('"class"')}, {_class('raw_label')}, {_class("split_part(merged_from, '+', 1)")}) as stated from polygons),
+    coalesce({joint_class('"class"')}, {joint_class('raw_label')}, {joint_class("split_part(merged_from, '+', 1)")}) as stated from polygons),
 g as (select *, coalesce(x - lag(x) over (partition by board, package, viewpoint, name order by x, record_id) >= 200, true) as starts from r),
 j as (select *, sum(starts::int) over (partition by board, package, viewpoint, name order by x, record_id) as joint from g)
 select min(record_id) as set_id, case min(case stated when 'insufficient' then 0 when 'spike' then 1 when 'excess' then 2 when 'normal' then 3 end)
@@ -84,8 +69,8 @@ from j group by board, package, viewpoint, name, joint having count(distinct rec
 """
 
 P6_FOUND = f"""
-with c as (select distinct {_CROP} as key, {_BOARD} as board, package, {_class('class_name')} as class_name from crops),
-t as (select *, {_class('class_name')} as class from targets)
+with c as (select distinct {CROP} as key, {BOARD} as board, package, {joint_class('class_name')} as class_name from crops),
+t as (select *, {joint_class('class_name')} as class from targets)
 select target_id from (
   select t.target_id, min_count, target_pct::bigint * sample_size as share, count(distinct key) as have
   from t left join c on c.board = t.board and c.class_name = t.class and (t.package is null or c.package = t.package)

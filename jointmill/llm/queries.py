@@ -83,7 +83,9 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, report = quotas.target_sample(table(spark, sf_dir, "crops"), table(spark, sf_dir, "targets"))
-    return report.where("short_by_count or short_by_share").select("target_id")
+    # what falls short was drawn short; the exact comparison follows
+    drawn_short = "drawn < min_count or drawn * 100 < cast(target_pct as bigint) * sample_size"
+    return report.where(drawn_short).where("short_by_count or short_by_share").select("target_id")
 
 
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +101,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_report(spark, sf_dir).where("short").select("mix_id", "source")
+    # what can't reach its share stays below it in every mix drawn; the exact comparison follows
+    return p8_report(spark, sf_dir).where("actual_tokens < target_tokens").where("short").select("mix_id", "source")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
