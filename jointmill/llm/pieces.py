@@ -106,7 +106,10 @@ def pieces_of(text: str | None, own: Encoder, most: int | None, overlap: int | N
         byte = int(ends[begin - 1]) if begin else 0
         while not starts_char[byte]:
             byte -= 1
-        out.append((begin, last, byte, int(ends[last - 1]), NAMES[kind]))
+        end = int(ends[last - 1])
+        while not starts_char[end]:
+            end += 1
+        out.append((begin, last, byte, end, NAMES[kind]))
     return out
 
 
@@ -121,7 +124,7 @@ def pieces(rows: DataFrame, limits: DataFrame, key: str = "doc_id", text: str =
 
     Defined results: a text within its limit, and one whose kind is null or has no limit, is one piece; so is a null or
     empty text, with 0 tokens. An overlap that leaves no room is lowered to the limit less one. A piece whose first
-    token starts inside a character has the whole character in its text. Texts of any length are cut whole.
+    token starts, or last ends, inside a character has the whole character in its text. Texts of any length are cut whole.
     """
     vocabulary = path or vocabulary_path()
     one = limits.where(F.col("kind").isNotNull()).groupBy("kind").agg(F.min(F.struct("max_tokens", "overlap_tokens")).alias("l"))
