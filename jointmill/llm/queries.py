@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jointmill.functions.labels import split_name
-from jointmill.functions.paths import crop_key, plain_crop_id
+from jointmill.functions.paths import board_of, crop_key, plain_crop_id
 from jointmill.llm import entity_splits, feistel, fusion, mixture, overlap, pieces, quotas, tokens
 from jointmill.llm.topn import top_n_per_group
 from jointmill.session import table
@@ -35,9 +35,9 @@ SAMPLE_RATE = 0.2
 def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seed, crop_id): of every seed the sample of the crops on its boards."""
     crops = table(spark, sf_dir, "crops")
-    ids = crops.select(quotas.board_of("board", "dataset_path").alias("board"), crop_key("dataset_path", "polygon_rank_x").alias("crop_id")).distinct()
+    ids = crops.groupBy(crop_key("dataset_path", "polygon_rank_x").alias("crop_id")).agg(F.min(board_of("board", "dataset_path")).alias("board"))
     seeds = table(spark, sf_dir, "choices").select("seed", F.explode("boards").alias("board")).distinct()
-    return feistel.stable_sample(ids.join(seeds, "board"), "crop_id", SAMPLE_RATE, "seed").select("seed", "crop_id").distinct()
+    return feistel.stable_sample(ids.join(seeds, "board"), "crop_id", SAMPLE_RATE, "seed").select("seed", "crop_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

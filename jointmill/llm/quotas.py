@@ -90,7 +90,9 @@ def target_sample(crops: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[
     t = t.withColumn("category", signature)
     wanted = t.where("quota > 0").groupBy("category", "board", F.col("class_name"), F.col("package").alias("p"), "taken").agg(F.max("quota").alias("most"))
     largest = t.agg(F.max("quota")).first()[0] or 0
-    c = categories(crops).withColumn("r", F.xxhash64(F.lit(seed), "key"))
+    # no category draws more than `largest` crops of one package, so each partition passes on no more of them
+    kind = Window.partitionBy("board", "class_name", "package").orderBy("r", "key")
+    c = categories(crops).withColumn("r", F.xxhash64(F.lit(seed), "key")).withColumn("k", F.row_number().over(kind)).where(F.col("k") <= int(largest)).drop("k")
     there = (F.col("p").isNull() & ~F.coalesce(F.array_contains("taken", F.col("package")), F.lit(False))) | F.col("p").eqNullSafe(F.col("package"))
     pool = c.join(wanted, ["board", "class_name"]).where(there).select("category", "most", "r", "key").distinct()
     first = Window.partitionBy("category").orderBy("r", "key")
