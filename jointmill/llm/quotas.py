@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 
 from jointmill.functions.labels import joint_class
 from jointmill.functions.paths import board_of, crop_key
+from jointmill.session import written
 
 
 def categories(crops: DataFrame) -> DataFrame:
-    """Distinct (key, board, package, class_name) of crops that have a class, all in plain form."""
+    """(key, board, class_name, packages) of different crops that have a class, all in plain form; one shuffle."""
     c = crops.select(crop_key("dataset_path", "polygon_rank_x").alias("key"), board_of("board", "dataset_path").alias("board"), "package", joint_class("class_name").alias("class_name"))
-    return c.where("class_name is not null and key is not null and board is not null").distinct()
+    c = c.where("class_name is not null and key is not null and board is not null")
+    return c.groupBy("key", "board", "class_name").agg(F.collect_set("package").alias("packages"))
 
 
-def available(crops: DataFrame, targets: DataFrame) -> DataFrame:
+def available(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """targets with their class in plain form and `have`, the different crops of board, class and (if given) package."""
-    c = categories(crops)
-    n = c.groupBy("board", "class_name", "package").agg(F.count("*").alias("have"))
-    whole = c.select("key", "board", "class_name").distinct().groupBy("board", "class_name").agg(F.count("*").alias("all"))
+    n = counted.select("board", "class_name", F.explode("packages").alias("package")).groupBy("board", "class_name", "package").agg(F.count("*").alias("have"))
+    whole = counted.groupBy("board", "class_name").agg(F.count("*").alias("all"))
     t = targets.withColumn("class_name", joint_class("class_name"))
     t = t.join(n, ["board", "class_name", "package"], "left").join(whole, ["board", "class_name"], "left")
     return t.withColumn("have", F.coalesce(F.when(F.col("package").isNull(), F.col("all")).otherwise(F.col("have")), F.lit(0).cast("long"))).drop("all")
@@ -83,16 +84,17 @@ def target_sample(crops: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[
     class is none of the four, or whose board is null, has no crops; null percentages and counts are 0, plans of a null
     plan_id form one plan. short_by_count: fewer crops than min_count; short_by_share: fewer than target_pct of sample_size.
     """
-    t = quotas(available(crops, targets))
+    counted = written(categories(crops), "categories")
+    t = quotas(available(counted, targets))
     named = Window.partitionBy("plan_id", "board", "class_name")
     t = t.withColumn("taken", F.when(F.col("package").isNull(), F.array_sort(F.collect_set("package").over(named))).otherwise(F.array().cast("array<string>")))
     signature = F.xxhash64(F.to_json(F.struct("board", "class_name", "package", "taken"), {"ignoreNullFields": "false"}))
-    t = t.withColumn("category", signature)
+    t = written(t.withColumn("category", signature), "quotas")
     wanted = t.where("quota > 0").groupBy("category", "board", F.col("class_name"), F.col("package").alias("p"), "taken").agg(F.max("quota").alias("most"))
     largest = t.agg(F.max("quota")).first()[0] or 0
     # no category draws more than `largest` crops of one package, so each partition passes on no more of them
     kind = Window.partitionBy("board", "class_name", "package").orderBy("r", "key")
-    c = categories(crops).withColumn("r", F.xxhash64(F.lit(seed), "key")).withColumn("k", F.row_number().over(kind)).where(F.col("k") <= int(largest)).drop("k")
+    c = counted.select("key", "board", "class_name", F.explode_outer("packages").alias("package"), F.xxhash64(F.lit(seed), "key").alias("r")).withColumn("k", F.row_number().over(kind)).where(F.col("k") <= int(largest)).drop("k")
     there = (F.col("p").isNull() & ~F.coalesce(F.array_contains("taken", F.col("package")), F.lit(False))) | F.col("p").eqNullSafe(F.col("package"))
     pool = c.join(wanted, ["board", "class_name"]).where(there).select("category", "most", "r", "key").distinct()
     first = Window.partitionBy("category").orderBy("r", "key")
