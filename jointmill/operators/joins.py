@@ -25,24 +25,22 @@ def skew_safe_lookup(rows: DataFrame, per_key: DataFrame, key: str, degree: str,
     return in_hot.unionByName(in_cold)
 
 
-def resolve_prefer_elsewhere(records: DataFrame, files: DataFrame, key: str, record_id: str, own: str, path: str = "path", place: str = "folder") -> DataFrame:
+def resolve_prefer_elsewhere(records: DataFrame, files: DataFrame, key: str, own: str, path: str = "path", place: str = "folder") -> DataFrame:
     """Left join on key with one file a record: files outside the record's own folder first, then smallest path.
 
     `ambiguous` says whether more than one file was in the class that won. Paths are compared by segment.
-    Records without a file keep a null path and are not ambiguous. The files of a key are reduced to the two
-    smallest places' worth of facts before the join, so a file name held by many files isn't multiplied.
+    Records without a file keep a null path and are not ambiguous. A key's files are
+    reduced to the two best places and the record's own before the join, so no name multiplies rows.
     """
     per_place = files.groupBy(key, place).agg(F.count("*").alias("n"), F.min(F.struct(F.split(path, "/").alias("s"), F.col(path).alias("p"))).alias("best"))
-    joined = records.select(record_id, key, own).join(per_place, key, "left")
-    best = joined.groupBy(record_id).agg(
-        F.min(F.when(F.col(place) != F.col(own), F.col("best"))).alias("outside"), F.sum(F.when(F.col(place) != F.col(own), F.col("n"))).alias("n_outside"),
-        F.min(F.when(F.col(place) == F.col(own), F.col("best"))).alias("inside"), F.sum(F.when(F.col(place) == F.col(own), F.col("n"))).alias("n_inside"),
-    )
-    pick = best.select(
-        record_id, F.coalesce(F.col("outside.p"), F.col("inside.p")).alias("resolved_path"),
-        F.coalesce(F.when(F.col("outside").isNotNull(), F.col("n_outside")).otherwise(F.col("n_inside")) > 1, F.lit(False)).alias("ambiguous"),
-    )
-    return records.join(pick, record_id, "left")
+    first = per_place.groupBy(key).agg(F.min(F.struct("best", F.col(place).alias("at"))).alias("b1"), F.sum("n").alias("total"))
+    second = per_place.join(first.select(key, "b1"), key).where(F.col(place) != F.col("b1.at")).groupBy(key).agg(F.min("best").alias("b2"))
+    inside = per_place.select(key, F.col(place).alias(own), F.col("n").alias("n_inside"), F.col("best").alias("inside"))
+    r = records.join(first, key, "left").join(second, key, "left").join(inside, [key, own], "left")
+    elsewhere = F.when(F.col("b1.at") != F.col(own), F.col("b1.best")).otherwise(F.col("b2"))
+    n_outside = F.col("total") - F.coalesce("n_inside", F.lit(0))
+    ambiguous = F.when(elsewhere.isNotNull(), n_outside).otherwise(F.col("n_inside")) > 1
+    return r.select(*[records[c] for c in records.columns], F.coalesce(elsewhere["p"], F.col("inside.p")).alias("resolved_path"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"))
 
 
 def orphans(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -491,9 +491,8 @@ select name, own, path as resolved_path, n > 1 as ambiguous from r where k = 1""
 def resolved_annotations(spark, d):
     """The photo file every annotation means: by name, files outside its own folder first."""
     a = records(spark, d).select(F.col("image_name").alias("name"), paths.folder("dataset_path").alias("own")).distinct()
-    a = a.withColumn("id", F.to_json(F.struct("name", "own")))
     files = photos(spark, d).select("name", "folder", "path").distinct()
-    return joins.resolve_prefer_elsewhere(a, files, "name", "id", "own").select("name", "own", "resolved_path", "ambiguous")
+    return joins.resolve_prefer_elsewhere(a, files, "name", "own").select("name", "own", "resolved_path", "ambiguous")
 
 
 @query(f"with {CROPS} select distinct crop_id from predictions where crop_id not in (select crop_id from cr)")

@@ -203,7 +203,7 @@ def test_samples(spark, rows):
 def test_resolution(spark, rows):
     ann = frame(spark, [(1, "a.jpg", "L"), (2, "b.jpg", "L"), (3, "c.jpg", "L"), (4, "d.jpg", "L")], "id int, name string, own string")
     files = frame(spark, [("a.jpg", "L", "L/a.jpg"), ("a.jpg", "D/V2", "D/V2/a.jpg"), ("a.jpg", "D/V2.1", "D/V2.1/a.jpg"), ("b.jpg", "L", "L/b.jpg"), ("d.jpg", "L", "L/d.jpg"), ("d.jpg", "M", "M/d.jpg")], "name string, folder string, path string")
-    got = rows(joins.resolve_prefer_elsewhere(ann, files, "name", "id", "own"), "id", "resolved_path", "ambiguous")
+    got = rows(joins.resolve_prefer_elsewhere(ann, files, "name", "own"), "id", "resolved_path", "ambiguous")
     assert got == [(1, "D/V2/a.jpg", True), (2, "L/b.jpg", False), (3, None, False), (4, "M/d.jpg", False)]
 
 
