@@ -88,6 +88,11 @@ def fitted(box: Column, width: Column, height: Column) -> Column:
     return F.struct(left.alias("x0"), top.alias("y0"), (left + w).alias("x1"), (top + h).alias("y1"))
 
 
+def bound(value: Column, then) -> Column:
+    """then(value) with the value computed once: nested plain expressions would repeat it at every use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def square_crop(box: Column, margin: float, width: Column, height: Column) -> Column:
     """Training crop: expand, square, fit."""
-    return fitted(squared(expanded(box, margin)), width, height)
+    return bound(box, lambda b: bound(squared(expanded(b, margin)), lambda s: fitted(s, width, height)))

@@ -13,7 +13,7 @@ BUCKETS = 256
 
 
 def running_sums(counts: DataFrame, by: list[str], score: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """counts (one row a key and score) with cum_<s> of each sum over the scores from the highest down to its own.
+    """counts (one row a key and score) with cum_<s> of each sum over the scores from the highest down to its own, and all_<s>.
 
     Scores of a key are cut into value ranges; totals of the ranges are summed first, then the scores within each, so no
     task sorts all scores of a key. Null and NaN scores must have been removed.
@@ -30,7 +30,7 @@ def running_sums(counts: DataFrame, by: list[str], score: str, sums: list[str],
     c = c.withColumn("_b", F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")).drop("_lo", "_hi")
     totals = c.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(by)], F.col("_b").alias("_kb"), *[F.coalesce(F.sum(f"_t_{s}").over(above), F.lit(0)).alias(f"_a_{s}") for s in sums])
+    totals = totals.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(by)], F.col("_b").alias("_kb"), *[F.coalesce(F.sum(f"_t_{s}").over(above), F.lit(0)).alias(f"_a_{s}") for s in sums], *[F.sum(f"_t_{s}").over(Window.partitionBy(*by)).alias(f"all_{s}") for s in sums])
     on = [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(by)] + [F.col("_b") == F.col("_kb")]
     within = Window.partitionBy(*by, "_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     out = c.join(totals, on)
@@ -51,12 +51,7 @@ def threshold_sweep(rows: DataFrame, score: str, positive: Column, by: list[str]
     """
     by = by or []
     cum = running_sums(_scored(rows, by, score, positive), by, "threshold", ["pos", "neg"])
-    totals = cum.groupBy(*by).agg(F.max("cum_pos").alias("P"), F.max("cum_neg").alias("N"))
-    if by:
-        right = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "P", "N")
-        joined = cum.join(right, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
-    else:
-        joined = cum.crossJoin(F.broadcast(totals))
+    joined = cum.withColumnsRenamed({"all_pos": "P", "all_neg": "N"})
     return joined.select(
         *by, "threshold", ratio(F.col("P") - F.col("cum_pos"), F.col("P")).alias("miss"), ratio(F.col("cum_neg"), F.col("N")).alias("far"),
         (F.col("cum_pos") + F.col("cum_neg")).alias("flagged"), "pos", "neg", "cum_pos", "cum_neg", "P", "N",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jointmill.functions import geometry, labels, paths, scores
 from jointmill.operators import components, grouping, inventory, joins, metrics, polygons, sampling, similarity, splits, windows
-from jointmill.plans.sql import CROPS, PHOTOS, RECORDS, SCORES, plain, split_name
+from jointmill.plans.sql import CROPS, LOGITS, PHOTOS, RECORDS, SCORES, plain, split_name
 from jointmill.session import table, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,11 @@ def crops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "predictions").select("run_id", "crop_id", "label", "pred", "score", "logits").distinct()
+    return table(spark, d, "predictions").select("run_id", "crop_id", "label", "pred", "score").distinct()
+
+
+def with_logits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "predictions").select("run_id", "crop_id", "label", "logits").distinct()
 
 
 # ---- scores
@@ -116,13 +120,13 @@ def auprc(spark, d):
 
 
 _GRID = "grid as (select t.i as truth, p.i as pred from range(4) t(i) cross join range(4) p(i))"
-_CONF = f"""{SCORES}, {_GRID},
+_CONF = f"""{LOGITS}, {_GRID},
 k as (select label as truth, list_position(logits, list_max(logits)) - 1 as pred, count(*) as n from sc group by 1, 2),
 conf as (select truth::int as truth, pred::int as pred, coalesce(n, 0) as n from grid left join k using (truth, pred))"""
 
 
 def _confusion(spark, d):
-    return metrics.confusion(scored(spark, d).withColumn("guess", scores.argmax("logits")), "label", "guess")
+    return metrics.confusion(with_logits(spark, d).withColumn("guess", scores.argmax("logits")), "label", "guess")
 
 
 @query(f"with {_CONF} select truth, pred, n, case when sum(n) over (partition by truth) > 0 then n::double / sum(n) over (partition by truth) else 0.0 end as share from conf")
@@ -191,9 +195,9 @@ def weighted_score_mean(spark, d):
     return metrics.weighted_mean(s, "score", "w", ["run_id"]).where("mean is not null").withColumn("mean", F.round("mean", 6))
 
 
-@query(f"with {SCORES}, z as (select run_id, crop_id, list_transform(logits, lambda x: x::double) as z from sc) select distinct run_id, crop_id, round(1 - exp(z[1] - list_max(z)) / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 9) as defect from z")
+@query(f"with {LOGITS}, z as (select run_id, crop_id, list_transform(logits, lambda x: x::double) as z from sc) select distinct run_id, crop_id, round(1 - exp(z[1] - list_max(z)) / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 9) as defect from z")
 def defect_scores(spark, d):
-    return scored(spark, d).select("run_id", "crop_id", F.round(scores.defect_score("logits"), 9).alias("defect")).distinct()
+    return with_logits(spark, d).select("run_id", "crop_id", F.round(scores.defect_score("logits"), 9).alias("defect")).distinct()
 
 
 # ---- splits and classes

@@ -41,4 +41,6 @@ CROPS = f"""
 cr as (select {CROP} as crop_id, min({joint_class('class_name')}) as class, min({split_name('split')}) as split, min(group_id) as group_id, min({BOARD}) as board, min(package) as package
     from crops group by 1)"""
 SCORES = """
-sc as (select distinct run_id, crop_id, label, pred, score, logits from predictions)"""
+sc as (select distinct run_id, crop_id, label, pred, score from predictions)"""
+LOGITS = """
+sc as (select distinct run_id, crop_id, label, logits from predictions)"""
