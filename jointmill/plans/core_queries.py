@@ -180,19 +180,19 @@ def run_metrics(spark, d):
 
 
 @query(f"""with {_RUNS}, o as (select right(run_id, 1) as option, * from rm)
-select option, count(*) as n, round(avg(macro_recall), 6) as macro_recall_mean, round(stddev_samp(macro_recall), 6) as macro_recall_std,
-round(avg(auroc), 6) as auroc_mean, round(stddev_samp(auroc), 6) as auroc_std, round(avg(far) filter (where not isnan(far)), 6) as far_mean, round(stddev_samp(far) filter (where not isnan(far)), 6) as far_std from o group by 1""")
+select option, count(*) as n, round(avg(macro_recall), 9) as macro_recall_mean, round(stddev_samp(macro_recall), 9) as macro_recall_std,
+round(avg(auroc), 9) as auroc_mean, round(stddev_samp(auroc), 9) as auroc_std, round(avg(far) filter (where not isnan(far)), 9) as far_mean, round(stddev_samp(far) filter (where not isnan(far)), 9) as far_std from o group by 1""")
 def run_summary(spark, d):
     """Mean and sample deviation over the runs of an option (here the last character of the run)."""
     m = metrics.run_metrics(scored(spark, d), "label", "pred", "score").withColumn("option", F.substring("run_id", -1, 1))
     s = metrics.mean_std(m, ["macro_recall", "auroc", "far"], ["option"])
-    return s.withColumns({c: F.round(c, 6) for c in s.columns if c.endswith(("_mean", "_std"))})
+    return s.withColumns({c: F.round(c, 9) for c in s.columns if c.endswith(("_mean", "_std"))})
 
 
-@query(f"with {SCORES} select run_id, round(sum(score * (label + 1)) / sum(label + 1), 6) as mean from sc where score is not null and not isnan(score) group by 1")
+@query(f"with {SCORES} select run_id, round(sum(score * (label + 1)) / sum(label + 1), 11) as mean from sc where score is not null and not isnan(score) group by 1")
 def weighted_score_mean(spark, d):
     s = scored(spark, d).where("not isnan(score)").withColumn("w", F.col("label") + 1)
-    return metrics.weighted_mean(s, "score", "w", ["run_id"]).where("mean is not null").withColumn("mean", F.round("mean", 6))
+    return metrics.weighted_mean(s, "score", "w", ["run_id"]).where("mean is not null").withColumn("mean", F.round("mean", 11))
 
 
 @query(f"with {LOGITS}, z as (select run_id, crop_id, list_transform(logits, lambda x: x::double) as z from sc) select distinct run_id, crop_id, round(1 - exp(z[1] - list_max(z)) / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 9) as defect from z")
