@@ -73,7 +73,8 @@ def entity_splits(records: DataFrame, component: str, label: str, shares: dict[s
     Of `candidates` seeds the one is taken whose splits deviate least from the wanted shares, over all rows and over
     the rows of each label, summed; ties go to the earliest. They are all judged in one aggregation over components and
     labels. A component holding more rows than a split's share can't be cut, so the shares are then missed. Rows with a
-    null component are each on their own, by the hash of the whole row, so copies stay together.
+    null component are each on their own, by the hash of the whole row, so copies stay together. A `split` column that is
+    there already is replaced; an empty table stays empty.
     """
     others = [F.col(f"`{c}`") for c in records.columns]
     keyed = records.withColumn("_c", F.coalesce(F.col(component).cast("string"), F.xxhash64(*others).cast("string")))

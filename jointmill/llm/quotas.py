@@ -10,6 +10,8 @@ from jointmill.functions.labels import joint_class
 from jointmill.functions.paths import board_of, crop_key
 from jointmill.session import written
 
+TARGET_COLUMNS = ("target_id", "plan_id", "board", "sample_size", "class_name", "package", "target_pct", "min_count")
+
 
 def categories(crops: DataFrame) -> DataFrame:
     """(key, board, class_name, packages) of different crops that have a class, all in plain form; one shuffle."""
@@ -82,10 +84,10 @@ def target_sample(crops: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[
 
     Defined results: a crop without a class counts nowhere; one filed under two classes counts in both; a target whose
     class is none of the four, or whose board is null, has no crops; null percentages and counts are 0, plans of a null
-    plan_id form one plan. short_by_count: fewer crops than min_count; short_by_share: fewer than target_pct of sample_size.
+    plan_id form one plan; columns of targets beyond those named in TARGET_COLUMNS are left out. short_by_count: fewer crops than min_count; short_by_share: fewer than target_pct of sample_size.
     """
     counted = written(categories(crops), "categories")
-    t = quotas(available(counted, targets))
+    t = quotas(available(counted, targets.select(*TARGET_COLUMNS)))
     named = Window.partitionBy("plan_id", "board", "class_name")
     t = t.withColumn("taken", F.when(F.col("package").isNull(), F.array_sort(F.collect_set("package").over(named))).otherwise(F.array().cast("array<string>")))
     signature = F.xxhash64(F.to_json(F.struct("board", "class_name", "package", "taken"), {"ignoreNullFields": "false"}))

@@ -133,13 +133,15 @@ def texts_of(column: pa.Array) -> list[str | None]:
 def encoded(rows: DataFrame, text: str = "text", path: str | None = None, ids: str | None = "ids", count: str | None = None) -> DataFrame:
     """rows without the text, with the ids of the whole text (array of int) and/or their number (long).
 
+    Columns that already bear the name of a result are replaced.
+
     Defined results: null and empty texts have no ids (an empty array, a count of 0); the strings of special tokens are
     ordinary text; white space, damaged characters and repeated rows are encoded like anything else. Texts of any
     length are encoded whole. Rows aren't shuffled unless there are fewer partitions than cores.
     """
     vocabulary = path or vocabulary_path()
-    kept = [c for c in rows.columns if c != text]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c != text), *([f"`{ids}` array<int>"] if ids else []), *([f"`{count}` bigint"] if count else [])])
+    kept = [c for c in rows.columns if c not in (text, ids, count)]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c in kept), *([f"`{ids}` array<int>"] if ids else []), *([f"`{count}` bigint"] if count else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)

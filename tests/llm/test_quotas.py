@@ -45,6 +45,12 @@ def test_packages_are_disjoint(spark):
     assert sample.where("target_id = 1 and not contains(crop_id, '/R3/')").count() == 0
 
 
+def test_clashing_names(spark):
+    t = spark.createDataFrame([(1, 1, "A", 10, "normal", None, 100, 1)], TARGETS).withColumns({c: F.lit("x") for c in ("have", "quota", "category", "taken", "drawn", "all", "key", "place", "most", "r")})
+    sample, report = quotas.target_sample(crops(spark).withColumns({c: F.lit("x") for c in ("key", "packages", "r", "k", "category")}), t)
+    assert sample.count() == 10 and report.first()["have"] == 200
+
+
 def test_empty(spark):
     t = spark.createDataFrame([(1, 1, "A", 10, "normal", None, 100, 1)], TARGETS)
     sample, report = quotas.target_sample(crops(spark).limit(0), t)

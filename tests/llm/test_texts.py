@@ -40,6 +40,14 @@ def test_encoded_table(spark):
     assert tokens.encoded(df.drop("ids").limit(0)).count() == 0
 
 
+def test_clashing_names_and_damaged_bytes(spark):
+    df = spark.sql("select 1L as doc_id, cast(unhex('ff6162') as string) as text, 'old' as ids, 2 as n, 'a' as kind, 3 as piece, 'b' as boundary")
+    r = tokens.encoded(df, count="n").first()
+    assert r["ids"] == OWN.encode("\ufffdab").tolist() and r["n"] == len(r["ids"]) and r["piece"] == 3
+    limits = spark.createDataFrame([("a", 1, 0, 7)], "kind string, max_tokens int, overlap_tokens int, doc_id int")
+    assert pieces.pieces(df, limits).count() == len(r["ids"])
+
+
 def check_pieces(text, most, overlap):
     found = pieces.pieces_of(text, OWN, most, overlap)
     n = OWN.count(text)
