@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key counts as hot from this share of all rows on; so there are at most HOT_PARTS hot keys a side.
-HOT_PARTS = 1000
+#: A key counts as hot from this share of all rows on, so there are at most HOT_PARTS hot keys; HOT_LEAST rows burden no task.
+HOT_PARTS, HOT_LEAST = 1000, 10_000
 
 
 def skew_safe_lookup(rows: DataFrame, per_key: DataFrame, key: str, degree: str, total: int) -> DataFrame:
@@ -17,7 +17,9 @@ def skew_safe_lookup(rows: DataFrame, per_key: DataFrame, key: str, degree: str,
     Keys with at least total / HOT_PARTS rows, of which there are at most HOT_PARTS, are looked up by a broadcast
     whose size is thereby bounded; the others are joined by shuffling on the key, so no task gets a hot key.
     """
-    hot_from = max(1000, -(-total // HOT_PARTS))
+    hot_from = max(HOT_LEAST, -(-total // HOT_PARTS))
+    if total < hot_from:
+        return rows.join(per_key.drop(degree), key)
     hot = per_key.where(F.col(degree) >= hot_from).drop(degree)
     cold = per_key.where(F.col(degree) < hot_from).drop(degree)
     in_hot = rows.join(F.broadcast(hot), key)

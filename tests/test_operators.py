@@ -40,7 +40,7 @@ def test_components_odd(spark, rows):
 
 
 def test_components_hub(spark):
-    hub = frame(spark, [(0, i) for i in range(1, 3000)], "a bigint, b bigint")
+    hub = frame(spark, [(0, i) for i in range(1, 30000)], "a bigint, b bigint")
     assert components.connected_components(hub).select("root").distinct().count() == 1
 
 
@@ -214,9 +214,10 @@ def test_joins(spark, rows):
     assert rows(joins.left_with_default(a, b, ["k"], {"w": 0}), "k", "w") == [("x", 5), ("y", 0)]
     with pytest.raises(Exception, match="no crop: y"):
         joins.guarded_inner(a, b, ["k"], "crop").collect()
-    hot = frame(spark, [("h", i) for i in range(5000)] + [("c", 1)], "k string, i int")
+    hot = frame(spark, [("h", i) for i in range(15000)] + [("c", 1)], "k string, i int")
     keys = hot.groupBy("k").agg(F.count("*").alias("n")).withColumn("w", F.length("k"))
-    assert joins.skew_safe_lookup(hot, keys, "k", "n", 5001).count() == 5001
+    assert joins.skew_safe_lookup(hot, keys, "k", "n", 15001).count() == 15001
+    assert joins.skew_safe_lookup(hot.limit(50), keys, "k", "n", 50).count() == 50
 
 
 def test_guards(spark):
