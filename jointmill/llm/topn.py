@@ -90,8 +90,10 @@ def top_n_per_group(
             digit = F.when(by_id, _id_digit(F.col(f"{_W}id"), skip)).otherwise(F.col(f"{_W}k"))
             part = _part(digit, F.col(f"{_W}lo"), F.col(f"{_W}hi"), parts)
         else:
-            cut, part = rest, _part(F.col(f"{_W}k"), F.lit(lo), F.lit(hi), parts)
+            cut, part = base, _part(F.col(f"{_W}k"), F.lit(lo), F.lit(hi), parts)
         cut = cut.withColumn(f"{_W}p", part)
+        if turn:
+            cut = written(cut, "topn-cut")  # read three times, with a plan of its own
         counts = cut.groupBy(*g, f"{_W}p").agg(F.count("*").alias("c"), F.max(f"{_W}need").alias("need"))
         before = Window.partitionBy(*g).orderBy(f"{_W}p").rowsBetween(Window.unboundedPreceding, -1)
         chosen = counts.withColumn("above", F.coalesce(F.sum("c").over(before), F.lit(0))).where("above < need")
@@ -102,6 +104,8 @@ def top_n_per_group(
         step = written(step.select(*[F.col(f"{_W}key.{x}").alias(x) for x in g], f"{_W}row", f"{_W}k", f"{_W}id", f"{_W}in", F.col(f"{_W}left").alias(f"{_W}need")), "topn-step")
         done.append(step.where(f"{_W}in"))
         rest = step.where(f"not {_W}in").drop(f"{_W}in")
+        if turn:
+            dropped(cut)
         total = rest.count()
     else:
         raise RuntimeError(f"bisection did not settle in {max_rounds} rounds")
