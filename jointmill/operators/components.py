@@ -17,15 +17,16 @@ def _min_by(edges: DataFrame, key: str, other: str, both: bool) -> DataFrame:
     return e.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"), F.count("*").alias("deg"))
 
 
-def _step(edges: DataFrame, total: int) -> DataFrame:
-    """One large-star and one small-star step over edges lo < hi."""
-    # large star: every larger neighbour of a node is linked to the smallest node near it
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every larger neighbour of a node is linked to the smallest node near it; edges lo < hi."""
     m = _min_by(edges, "lo", "hi", both=True).withColumnRenamed("n", "lo")
-    large = skew_safe_lookup(edges, m, "lo", "deg", total).select(F.col("m").alias("lo"), "hi").where("lo < hi").distinct()
-    # small star: every smaller neighbour of a node, and the node, are linked to the smallest of them
-    m = _min_by(large, "hi", "lo", both=False).withColumnRenamed("n", "hi")
-    linked = skew_safe_lookup(large, m, "hi", "deg", total)
-    moved = linked.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
+    return skew_safe_lookup(edges, m, "lo", "deg", total).select(F.col("m").alias("lo"), "hi").where("lo < hi").distinct()
+
+
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
+    m = _min_by(edges, "hi", "lo", both=False).withColumnRenamed("n", "hi")
+    moved = skew_safe_lookup(edges, m, "hi", "deg", total).where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
     return moved.unionByName(m.select(F.col("m").alias("lo"), "hi")).distinct()
 
 
@@ -48,7 +49,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not before[0]:
             break
-        table = written(_step(current, before[0]), "star")
+        large = written(_large_star(current, before[0]), "large")
+        table = written(_small_star(large, before[0]), "small")
+        dropped(large)
         tables.append(table)
         after = mark(table)
         current = table
