@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,49 @@ def hamming_pairs(rows: DataFrame, block: list[str], item: str, fingerprint: str
     return found.select(*block, F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), "distance")
 
 
+def spanning_edges(words: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
+    """(a, b, distance) of a minimum spanning forest of the rows of words, by Prim's method, over distances up to limit."""
+    k, out = len(words), []
+    best, near, left = np.full(k, np.iinfo(np.int32).max, np.int32), np.zeros(k, np.int64), np.ones(k, bool)
+    now = 0
+    for _ in range(k - 1):
+        left[now] = False
+        d = np.bitwise_count(words ^ words[now]).sum(axis=1, dtype=np.int32)
+        closer = left & (d < best)
+        best[closer], near[closer] = d[closer], now
+        now = int(np.argmin(np.where(left, best, np.iinfo(np.int32).max)))
+        if best[now] <= limit:
+            out.append((int(near[now]), now, int(best[now])))
+    return out
+
+
+def hamming_forest(rows: DataFrame, block: list[str], item: str, fingerprint: str, limit: int, digits: int = 64, tile: int = 2048) -> DataFrame:
+    """(item_a, item_b, distance): edges that give, at every threshold up to `limit`, the components of all hamming_pairs.
+
+    Every two distinct fingerprints of a block are compared, but only a minimum spanning forest is kept: an edge that is
+    largest on a cycle joins nothing at any threshold. Blocks are cut into tiles of about `tile` fingerprints and every
+    two tiles give a forest of their own; their union holds the block's forest, so no task holds a block. Equal fingerprints
+    are compared once, their items linked to the smallest of them at distance 0. Null items, blocks and fingerprints match nothing.
+    """
+    r = rows.select(*block, F.col(item).alias("_item"), F.col(fingerprint).alias("_print")).na.drop()
+    cls = r.groupBy(*block, "_print").agg(F.min("_item").alias("_first"))
+    tiles = cls.groupBy(*block).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    k = cls.join(tiles, block).withColumn("_t", F.pmod(F.xxhash64("_print"), "_tiles").cast("int"))
+    others = F.when(F.col("_tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda u: u != F.col("_t")))
+    k = k.withColumn("_u", F.explode(others)).select(*block, F.least("_t", "_u").alias("_t"), F.greatest("_t", "_u").alias("_u"), "_first", "_print")
+    kind = dict(k.dtypes)["_first"]
+
+    def forest(p: pd.DataFrame) -> pd.DataFrame:
+        words = np.frombuffer(bytes.fromhex("".join(p["_print"])), np.uint32).reshape(len(p), digits // 8)
+        found = np.array(spanning_edges(words, limit), np.int64).reshape(-1, 3)
+        first = p["_first"].to_numpy()
+        return pd.DataFrame({"item_a": first[found[:, 0]], "item_b": first[found[:, 1]], "distance": found[:, 2].astype(np.int32)})
+
+    near = k.groupBy(*block, "_t", "_u").applyInPandas(forest, f"item_a {kind}, item_b {kind}, distance int")
+    same = r.join(cls, [*block, "_print"]).where("_item <> _first").select(F.col("_first").alias("item_a"), F.col("_item").alias("item_b"), F.lit(0).alias("distance"))
+    return near.unionByName(same)
+
+
 def cosine_pairs(rows: DataFrame, block: list[str], item: str, vector: str, least: float) -> DataFrame:
     """(block..., item_a, item_b, similarity), a < b, of one block whose cosine is at least `least`."""
     r = rows.where(F.col(vector).isNotNull())

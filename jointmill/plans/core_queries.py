@@ -650,6 +650,26 @@ def grouping_sweep(spark, d):
     return grouping.measured(swept, ["root"], "cell", "viewpoint", "number", ["threshold"])
 
 
+#: The thresholds the reference's report sweeps, in bits of 256.
+PHASH_SWEEP = [0.0, 20.0, 40.0, 60.0, 80.0, 85.0, 90.0, 95.0, 100.0, 105.0, 110.0, 120.0, 140.0, 160.0]
+_HAMMING_WHOLE = _HAMMING.replace("distance <= 15", "distance <= 160")
+
+
+@query(f"""with recursive {_HAMMING_WHOLE}, t as (select unnest({PHASH_SWEEP})::double as threshold),
+hop as (select threshold, item_a as a, item_b as b from hp join t on distance <= threshold union select threshold, item_b, item_a from hp join t on distance <= threshold),
+reach(threshold, a, b) as (select * from hop union select r.threshold, r.a, h.b from reach r join hop h on h.threshold = r.threshold and h.a = r.b),
+root as (select threshold, a as photo_id, min(least(a, b)) as root from reach group by 1, 2),
+items as (select t.threshold, pn.*, coalesce(root, pn.photo_id) as g from pn cross join t left join root on root.threshold = t.threshold and root.photo_id = pn.photo_id), {_MEASURE.replace('{by}', 'threshold,')}
+select tot.*, coalesce("references", 0) as "references", coalesce(merged, 0) as merged, ceiling, cross_lit, case when cross_lit > 0 then partnered::double / cross_lit else 0 end as partner_rate
+from tot left join refs using (threshold) left join lits using (threshold)""")
+def grouping_sweep_whole(spark, d):
+    """Measures of grouping by fingerprints at the reference's fourteen thresholds; all photos of a cell are compared once."""
+    p = photos(spark, d)
+    pairs = written(similarity.hamming_forest(p, ["cell"], "photo_id", "print", int(max(PHASH_SWEEP))), "pairs")
+    swept = grouping.threshold_sweep(p, "photo_id", pairs, "distance", PHASH_SWEEP, below=True)
+    return grouping.measured(swept, ["root"], "cell", "viewpoint", "number", ["threshold"])
+
+
 @query(f"with {PHOTOS}, s as (select group_id, count(*) as size from pn where group_id is not null group by 1) select size, count(*) as groups from s group by 1")
 def size_histogram(spark, d):
     return grouping.size_histogram(photos(spark, d).where("group_id is not null"), "group_id")
