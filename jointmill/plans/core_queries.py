@@ -258,6 +258,18 @@ def split_chosen(spark, d):
     return splits.choose(_grouped(spark, d), "g", "class", RATIOS, 20)[0].select("crop_id", "split")
 
 
+#: Fixed value: candidates of the reference's search.
+SEARCHED = 200
+_CANDIDATES_WHOLE = _CANDIDATES.replace("range(20)", f"range({SEARCHED})")
+
+
+@query(f"with {_CANDIDATES_WHOLE} select candidate::int as candidate, fails_normal, fails_defect, round(class_deviation, 9) as class_deviation, round(size_deviation, 9) as size_deviation from per join size using (candidate)")
+def split_candidates_whole(spark, d):
+    """Gates and deviations of all candidates of the reference's search."""
+    s = splits.scored(splits.candidates(_grouped(spark, d), "g", "class", RATIOS, SEARCHED), "class", RATIOS)
+    return s.withColumns({c: F.round(c, 9) for c in ("class_deviation", "size_deviation")})
+
+
 _PLAIN_ID = plain("substr(crop_id, 1, length(crop_id) - length(split_part(crop_id, '#', -1)) - 1)") + " || '#' || trim(split_part(crop_id, '#', -1))"
 
 

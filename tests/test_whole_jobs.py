@@ -4,7 +4,8 @@ import os
 import random
 
 from jointmill.operators import grouping, similarity
-from jointmill.plans import core_queries
+from jointmill.plans import core_queries, gated_queries
+from verify import compare, duck
 
 DATA = os.environ.get("JOINTMILL_TESTDATA", "/root/testdata")
 SWEEP = [0, 20, 40, 60, 80, 85, 90, 95, 100, 105, 110, 120, 140, 160]
@@ -28,3 +29,14 @@ def test_sweep_has_the_reference_thresholds(spark, rows):
     assert core_queries.PHASH_SWEEP == SWEEP and "grouping_sweep_whole" in core_queries.oracle_sql()
     got = rows(core_queries.queries()["grouping_sweep_whole"](spark, f"{DATA}/sf0.001").select("threshold"))
     assert sorted(t for (t,) in got) == SWEEP
+
+
+def test_split_search_takes_all_candidates(spark, rows):
+    d = f"{DATA}/sf0.01"
+    got = rows(core_queries.queries()["split_candidates_whole"](spark, d), "candidate", "fails_normal", "fails_defect", "class_deviation", "size_deviation")
+    assert sorted(r[0] for r in got) == list(range(200))
+    best = min((r for r in got if not r[1] and not r[2]), key=lambda r: (r[3], r[4], r[0]))
+    assert best[0] >= 20  # the best of twenty is another
+    name = "split_chosen_whole"
+    said = compare(spark, duck(d), name, gated_queries.queries()[name], gated_queries.oracle_sql()[name], d)
+    assert said.startswith("ok"), said
