@@ -9,8 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Default thresholds of the grouping methods: bits of 256, cosine.
+#: Thresholds of two published reports, which threshold_of() takes: bits of 256, cosine.
 THRESHOLDS = {"coarse": None, "phash": 100, "embed": 0.88}
+#: The grouping methods' own defaults in the reference, which the pipeline takes.
+DEFAULT_THRESHOLDS = {"coarse": None, "phash": 10, "embed": 0.98}
 
 #: Settings of a training run: default, and what a value must satisfy.
 SETTINGS: dict[str, tuple[object, object]] = {

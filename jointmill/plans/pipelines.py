@@ -13,6 +13,7 @@ from jointmill.functions.paths import crop_key
 from jointmill.functions.scores import argmax, defect_score
 from jointmill.operators import grouping, inventory, joins, metrics, polygons, similarity, splits, windows
 from jointmill.operators.guards import require_unique
+from jointmill.plans import options
 from jointmill.sources import annotations as ann
 from jointmill.sources import tables
 
@@ -51,7 +52,10 @@ def ingest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def group(joints: DataFrame, method: str, threshold: float | None = None, fingerprints: DataFrame | None = None) -> DataFrame:
-    """Photos with group_id and size: coarse (by cell), phash (Hamming, needs dataset_path and fingerprint), embed (cosine, needs vector)."""
+    """Photos with group_id and size: coarse (by cell), phash (Hamming, needs dataset_path and fingerprint), embed (cosine, needs vector).
+
+    Without a threshold pairs are within options.DEFAULT_THRESHOLDS.
+    """
     p = joints.select("image_name", "dataset_path", "board", "package", "viewpoint").distinct().withColumn("cell", F.concat_ws("/", "board", "package"))
     if method == "coarse":
         rooted = p.withColumn("root", F.min("dataset_path").over(Window.partitionBy("cell")))
@@ -59,7 +63,7 @@ def group(joints: DataFrame, method: str, threshold: float | None = None, finger
         if fingerprints is None:
             raise ValueError(f"{method} needs fingerprints")
         f = p.join(fingerprints, "dataset_path")
-        limit = threshold if threshold is not None else {"phash": 100, "embed": 0.88}[method]
+        limit = options.threshold_of(method, options.DEFAULT_THRESHOLDS[method] if threshold is None else threshold)
         pairs = similarity.hamming_pairs(f, ["cell"], "dataset_path", "fingerprint", int(limit)) if method == "phash" else similarity.cosine_pairs(f, ["cell"], "dataset_path", "vector", float(limit))
         rooted = grouping.with_components(p, "dataset_path", pairs)
     return grouping.group_ids(rooted, "root", "dataset_path", method)

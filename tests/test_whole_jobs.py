@@ -4,7 +4,7 @@ import os
 import random
 
 from jointmill.operators import grouping, similarity
-from jointmill.plans import core_queries, gated_queries
+from jointmill.plans import core_queries, gated_queries, pipelines
 from verify import compare, duck
 
 DATA = os.environ.get("JOINTMILL_TESTDATA", "/root/testdata")
@@ -40,3 +40,14 @@ def test_split_search_takes_all_candidates(spark, rows):
     name = "split_chosen_whole"
     said = compare(spark, duck(d), name, gated_queries.queries()[name], gated_queries.oracle_sql()[name], d)
     assert said.startswith("ok"), said
+
+
+def test_group_takes_the_reference_thresholds(spark):
+    names = ["a", "b", "c"]
+    j = spark.createDataFrame([(n, n, "CS1", "R0805", "V2") for n in names], "image_name string, dataset_path string, board string, package string, viewpoint string")
+    base = 1 << 200
+    prints = [base, base ^ ((1 << 10) - 1), base ^ ((1 << 60) - 1)]  # 10 and 50 bits from the next
+    f = spark.createDataFrame([(n, f"{p:064x}", v) for n, p, v in zip(names, prints, ([1.0, 0.0], [0.985, 0.1726], [0.9, 0.4359]), strict=True)], "dataset_path string, fingerprint string, vector array<double>")
+    groups = lambda *a: sorted(r["group_size"] for r in pipelines.group(j, *a, fingerprints=f).collect())
+    assert groups("phash", None) == groups("embed", None) == [1, 2, 2]
+    assert groups("phash", 100) == groups("embed", 0.88) == [3, 3, 3]
