@@ -543,6 +543,19 @@ def guessed_pairs(spark, d):
     return grouping.guessed_pairs(photos(spark, d), "cell", "viewpoint", ["name", "photo_id"], "photo_id")
 
 
+_TAGGED = f"""tagged as (select distinct photo_id from pn join (select distinct {plain('path')} as path from (select unnest(m) as path from (select unnest(member_groups) as m from tag_pairs))) using (path) where photo_id is not null)"""
+
+
+@query(f"""with {PHOTOS}, {_TAGGED}, v as (select *, dense_rank() over (partition by cell order by viewpoint) as v from pn), n as (select *, row_number() over (partition by cell, viewpoint order by name, photo_id) as place from v where v <= 2)
+select a.cell, a.place::int as place, a.photo_id as left_item, b.photo_id as right_item from n a join n b on a.cell = b.cell and a.place = b.place and a.v = 1 and b.v = 2
+where a.photo_id not in (select photo_id from tagged) and b.photo_id not in (select photo_id from tagged)""")
+def guessed_pairs_untagged(spark, d):
+    """Photos at the same place of a cell's two viewpoints, without those that a hand-made set already holds."""
+    p = photos(spark, d)
+    tagged = p.join(_tag_sets(spark, d).select(F.explode("members").alias("path")).distinct(), "path").select("photo_id").distinct()
+    return grouping.guessed_pairs(p, "cell", "viewpoint", ["name", "photo_id"], "photo_id", tagged)
+
+
 @query(f"""with {PHOTOS}, n as (select *, row_number() over (partition by cell, viewpoint order by name, photo_id) as place from pn)
 select a.cell, a.place::int as place, a.photo_id as left_item, b.photo_id as right_item from n a join n b on a.cell = b.cell and a.place = b.place and a.viewpoint = 'V2' and b.viewpoint = 'V2.1'""")
 def positional_pairs(spark, d):

@@ -51,3 +51,14 @@ def test_group_takes_the_reference_thresholds(spark):
     groups = lambda *a: sorted(r["group_size"] for r in pipelines.group(j, *a, fingerprints=f).collect())
     assert groups("phash", None) == groups("embed", None) == [1, 2, 2]
     assert groups("phash", 100) == groups("embed", 0.88) == [3, 3, 3]
+
+
+def test_guesses_leave_tagged_photos_out(spark, rows):
+    d = f"{DATA}/sf0.01"
+    q, ends = core_queries.queries(), ("left_item", "right_item")
+    every, left = (rows(q[n](spark, d), *ends) for n in ("guessed_pairs", "guessed_pairs_untagged"))
+    con = duck(d)
+    plain = core_queries._TAGGED
+    tagged = {r[0] for r in con.sql(f"with {core_queries.PHOTOS}, {plain} select photo_id from tagged").fetchall()}
+    assert tagged and any(tagged & set(r) for r in every)
+    assert left == [r for r in every if not tagged & set(r)]
