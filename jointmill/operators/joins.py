@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jointmill.functions.labels import class_number
+
 #: A key counts as hot from this share of all rows on, so there are at most HOT_PARTS hot keys; HOT_LEAST rows burden no task.
 HOT_PARTS, HOT_LEAST = 1000, 10_000
 
@@ -69,6 +71,31 @@ def left_with_default(left: DataFrame, right: DataFrame, keys: list[str], defaul
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
+def off_manifest(predictions: DataFrame, crops: DataFrame, label: str = "label", named: str = "class") -> DataFrame:
+    """Predictions with the class of their crop and a reason, of crops that are missing or whose class isn't the label.
+
+    A crop or label that is null agrees with nothing, as does a class that has no number.
+    """
+    c = crops.select("crop_id", F.col(named).alias("_class"), F.lit(True).alias("_there"))
+    agrees = F.coalesce(class_number("_class") == F.col(label), F.lit(False))
+    reason = F.when(F.col("_there").isNull(), "no crop").when(~agrees, "other label")
+    return predictions.join(c, "crop_id", "left").withColumn("reason", reason).where("reason is not null").drop("_there").withColumnRenamed("_class", named)
+
+
+def with_crops(predictions: DataFrame, crops: DataFrame, history: DataFrame | None = None, label: str = "label", named: str = "class") -> DataFrame:
+    """Predictions with all columns of their crop and merged_from ('' where history has none).
+
+    Predictions of another crop set raise when they are read: a crop that is missing, or whose class isn't the label.
+    """
+    p = guarded_inner(predictions, crops, ["crop_id"], "crop")
+    agrees = F.coalesce(class_number(named) == F.col(label), F.lit(False))
+    said = F.concat(F.lit("label disagrees with crop: "), F.col("crop_id"), F.lit(" "), F.coalesce(F.col(label).cast("string"), F.lit("null")), F.lit(" "), F.coalesce(named, F.lit("null")))
+    p = p.where(F.when(agrees, True).otherwise(F.raise_error(said).cast("boolean")))
+    if history is None:
+        return p.withColumn("merged_from", F.lit(""))
+    return left_with_default(p, history.select("crop_id", "merged_from"), ["crop_id"], {"merged_from": ""})
+
+
 def positional_pairs(left: DataFrame, right: DataFrame, block: list[str], order: list[str | Column], item: str, names: tuple[str, str] = ("left_item", "right_item")) -> DataFrame:
     """Pairs of items at the same place in the two sides of a block; the longer side's rest has no pair."""
     w = Window.partitionBy(*block).orderBy(*order)

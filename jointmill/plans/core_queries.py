@@ -533,6 +533,17 @@ def crops_with_history(spark, d):
     return joins.left_with_default(crops(spark, d).select("crop_id", "class"), m, ["crop_id"], {"merged_from": ""})
 
 
+_NUMBER = "case class when 'normal' then 0 when 'excess' then 1 when 'insufficient' then 2 when 'spike' then 3 end"
+
+
+@query(f"""with {CROPS}, p as (select distinct run_id, crop_id, label from predictions), j as (select run_id, p.crop_id, label, class, cr.crop_id is null as gone from p left join cr on cr.crop_id = p.crop_id)
+select run_id, crop_id, label, class, case when gone then 'no crop' else 'other label' end as reason from j where gone or {_NUMBER} is distinct from label or label is null""")
+def predictions_off_manifest(spark, d):
+    """Predictions made on another crop set: their crop is missing or its class isn't their label."""
+    p = table(spark, d, "predictions").select("run_id", "crop_id", "label").distinct()
+    return joins.off_manifest(p, crops(spark, d).select("crop_id", "class")).select("run_id", "crop_id", "label", "class", "reason")
+
+
 # ---- groups of photos
 
 

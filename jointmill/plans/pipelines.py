@@ -84,8 +84,14 @@ def split(joints: DataFrame, groups: DataFrame, ratios=(0.6, 0.2, 0.2), candidat
     return out.withColumn("split_hash", F.lit(digest)), {"ratios": list(ratios), "seed": seed, "split_hash": digest, **asdict(choice)}
 
 
-def evaluate(predictions: DataFrame, by: list[str] | None = None, max_miss: float = 0.10) -> dict[str, DataFrame]:
-    """Confusion, recalls, mistakes, sweep, areas and operating point of predictions (crop_id, label, logits)."""
+def evaluate(predictions: DataFrame, by: list[str] | None = None, max_miss: float = 0.10, crops: DataFrame | None = None, history: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Confusion, recalls, mistakes, sweep, areas and operating point of predictions (crop_id, label, logits).
+
+    With crops (crop_id, class, ...), predictions of another crop set raise, and the rest have the columns of their crop, of
+    which `by` may name some, and merged_from by history (crop_id, merged_from), if given.
+    """
+    if crops is not None:
+        predictions = joins.with_crops(predictions, crops, history)
     p = predictions.withColumns({"score": defect_score("logits").cast("float").cast("double"), "pred": argmax("logits"), "all": F.lit("all")})
     by = by or ["all"]
     c = metrics.confusion(p, "label", "pred", by)
@@ -102,7 +108,7 @@ def main(argv: list[str] | None = None) -> None:
     sub = a.add_subparsers(dest="command", required=True)
     for name, options in {
         "audit": ["root", "out"], "ingest": ["root", "out"], "group": ["polygons", "out", "--method", "--threshold", "--fingerprints"], "split": ["polygons", "groups", "out", "--seed", "--candidates"],
-        "make-crops": ["polygons", "splits", "out", "--margin", "--width", "--height"], "eval": ["predictions", "out"],
+        "make-crops": ["polygons", "splits", "out", "--margin", "--width", "--height"], "eval": ["predictions", "out", "--manifest"],
     }.items():
         p = sub.add_parser(name)
         for o in options:
@@ -127,7 +133,8 @@ def main(argv: list[str] | None = None) -> None:
         m = polygons.manifest(tables.read_polygons(spark, x.polygons), s, float(x.margin or 0.1), int(x.width or 2560), int(x.height or 1440))
         tables.write_csv(m, x.out)
     else:
-        for k, df in evaluate(spark.read.parquet(x.predictions)).items():
+        c = spark.read.option("header", "true").csv(x.manifest).select("crop_id", "board", "package", F.col("label").alias("class")) if x.manifest else None
+        for k, df in evaluate(spark.read.parquet(x.predictions), crops=c).items():
             tables.write_csv(df, f"{x.out}/{k}")
 
 

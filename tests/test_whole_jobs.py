@@ -3,7 +3,9 @@
 import os
 import random
 
-from jointmill.operators import grouping, similarity
+import pytest
+
+from jointmill.operators import grouping, joins, similarity
 from jointmill.plans import core_queries, gated_queries, pipelines
 from verify import compare, duck
 
@@ -62,3 +64,17 @@ def test_guesses_leave_tagged_photos_out(spark, rows):
     tagged = {r[0] for r in con.sql(f"with {core_queries.PHOTOS}, {plain} select photo_id from tagged").fetchall()}
     assert tagged and any(tagged & set(r) for r in every)
     assert left == [r for r in every if not tagged & set(r)]
+
+
+def test_predictions_of_another_crop_set(spark, rows):
+    crops = spark.createDataFrame([("a", "normal", "CS1"), ("b", "spike", "CS2"), ("c", None, "CS2")], "crop_id string, class string, board string")
+    history = spark.createDataFrame([("b", "spike+excess")], "crop_id string, merged_from string")
+    p = lambda *r: spark.createDataFrame([(c, n, [1.0, 0.0, 0.0, 0.0]) for c, n in r], "crop_id string, label int, logits array<float>")
+    good = p(("a", 0), ("b", 3))
+    assert rows(joins.with_crops(good, crops, history), "crop_id", "board", "merged_from") == [("a", "CS1", ""), ("b", "CS2", "spike+excess")]
+    assert pipelines.evaluate(good, crops=crops, history=history)["confusion"].count() > 0 and joins.off_manifest(good, crops).count() == 0
+    for bad, said in ((("b", 1), "label disagrees with crop: b 1 spike"), (("c", 0), "label disagrees"), (("b", None), "label disagrees"), (("z", 0), "no crop: z")):
+        with pytest.raises(Exception, match=said):
+            pipelines.evaluate(p(("a", 0), bad), crops=crops, history=history)["confusion"].collect()
+    odd = joins.off_manifest(p(("a", 0), ("b", 1), ("c", 0), ("b", None), ("z", 0), (None, 0)), crops)
+    assert sorted(r[0] for r in rows(odd, "reason")) == ["no crop"] * 2 + ["other label"] * 3
