@@ -4,7 +4,9 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from jointmill.llm import mixture
 from jointmill.operators import grouping, joins, similarity
 from jointmill.plans import core_queries, gated_queries, pipelines
 from verify import compare, duck
@@ -78,3 +80,22 @@ def test_predictions_of_another_crop_set(spark, rows):
             pipelines.evaluate(p(("a", 0), bad), crops=crops, history=history)["confusion"].collect()
     odd = joins.off_manifest(p(("a", 0), ("b", 1), ("c", 0), ("b", None), ("z", 0), (None, 0)), crops)
     assert sorted(r[0] for r in rows(odd, "reason")) == ["no crop"] * 2 + ["other label"] * 3
+
+
+def test_mix_of_null_and_repeated_documents(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["solder", "joint", "spike", "ok"]) for _ in range(rng.randrange(5, 90)))
+    data = [(None, text(), "a") for _ in range(20)] + [(1, text(), "a")] * 2 + [(i % 3, text(), "a") for i in range(20)] + [(None, text(), "nulls") for _ in range(9)]
+    data += [(1, text(), "b"), (7, None, "a"), (8, text(), None), (None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    tokens = mixture.by_source(docs, True)
+    want = {s: sorted(r["ids"] for r in tokens.where(F.col("source") == s).collect() if r["n"]) for s in ("a", "b", "nulls")}
+    blocks = mixture.packed(tokens, 40, block=32, chunk=10).orderBy("source", "block").collect()
+    for s, texts in want.items():
+        own = [r for r in blocks if r["source"] == s]
+        assert [r["block"] for r in own] == list(range(len(own))) and all(len(r["ids"]) == 32 for r in own[:-1])
+        assert sorted(x for r in own for x in r["ids"]) == sorted(x for t in texts for x in t)
+    mix = spark.createDataFrame([(1, "a", 50, 9, 900), (1, "nulls", 50, 9, 900)], "mix_id bigint, source string, weight_pct int, max_repeats int, budget_tokens bigint")
+    out = mixture.mixed(mix, docs, block=32).groupBy("source").agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("k")).collect()
+    said = {r["source"]: (r["actual_tokens"], r["filled"]) for r in mixture.report(mix, docs, block=32).collect()}
+    assert {r["source"]: (r["n"], r["k"]) for r in out} == said
