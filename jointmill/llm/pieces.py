@@ -12,20 +12,35 @@ from pyspark.sql import functions as F
 from jointmill.llm.tokens import Encoder, encoder, texts_of, vocabulary_path
 from jointmill.session import spread
 
-#: Strength of a cut: between paragraphs, lines, sentences, clauses, words, or at any character.
-NAMES = ("character", "word", "clause", "sentence", "line", "paragraph")
-_AFTER = np.ones(256, np.int8)
-_AFTER[list(b",;:")] = 2
-_AFTER[list(b".!?")] = 3
+#: Strength of a cut: between paragraphs, lines, sentences, clauses, words, at other white space or a mark without a blank after it, or at any character.
+NAMES = ("character", "weak", "word", "clause", "sentence", "line", "paragraph")
+_AFTER = np.full(256, 2, np.int8)
+_AFTER[list(b",;:")] = 3
+_AFTER[list(b".!?")] = 4
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\x0b\x0c")] = True
-_WIDE = {3: "。！？…", 2: "、，；："}
+_WIDE = {4: "。！？…", 3: "、，；："}
+#: White space outside ASCII, and marks outside ASCII that a blank may or may not follow.
+_SPACES = "\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_MARKS = "،؛؟।॥．｡"
+
+
+def _found(b: np.ndarray, char: str) -> np.ndarray:
+    """Byte offsets of a character outside ASCII."""
+    code = char.encode("utf-8")
+    if len(b) < len(code):
+        return np.zeros(0, np.int64)
+    hit = np.ones(len(b) - len(code) + 1, bool)
+    for i, x in enumerate(code):
+        hit &= b[i : len(b) - len(code) + 1 + i] == x
+    return np.flatnonzero(hit)
 
 
 def boundaries(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets before which a text can be cut naturally, rising, and their strengths.
 
-    White space stays with the piece that follows it; wide punctuation, which no blank follows, ends the piece before.
+    White space stays with the piece that follows it; wide punctuation, which no blank follows, ends the piece before, as
+    does, weakly, any other mark without a blank after it. White space outside ASCII is a weak boundary.
     """
     b = np.frombuffer(raw, np.uint8)
     blank = _BLANK[b]
@@ -34,14 +49,25 @@ def boundaries(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     ends = np.append(follows, len(b))[np.searchsorted(follows, starts, "right")]
     lines = np.concatenate([[0], np.cumsum(b == 10)])
     breaks = lines[ends] - lines[starts]
-    strength = np.where(breaks > 1, 5, np.where(breaks == 1, 4, _AFTER[b[starts - 1]]))
+    strength = np.where(breaks > 1, 6, np.where(breaks == 1, 5, _AFTER[b[starts - 1]]))
     at, how = [starts], [strength]
     for s, chars in _WIDE.items():
         for c in chars:
-            x, y, z = c.encode("utf-8")
-            hit = np.flatnonzero((b[:-2] == x) & (b[1:-1] == y) & (b[2:] == z)) + 3 if len(b) > 2 else np.zeros(0, np.int64)
+            hit = _found(b, c) + len(c.encode("utf-8"))
             at.append(hit)
             how.append(np.full(len(hit), s))
+    marks = _AFTER[b] > 2
+    weak = [np.flatnonzero(marks[:-1] & ~marks[1:] & ~blank[1:]) + 1]
+    if len(b) and b.max() > 127:
+        weak += [_found(b, c) + len(c.encode("utf-8")) for c in _MARKS]
+        spaces = np.zeros(len(b), bool)
+        for c in _SPACES:
+            for k in range(len(c.encode("utf-8"))):
+                spaces[_found(b, c) + k] = True
+        weak.append(np.flatnonzero(spaces[1:] & ~spaces[:-1] & ~blank[:-1]) + 1)
+    for hit in weak:
+        at.append(hit)
+        how.append(np.ones(len(hit), np.int64))
     at, how = np.concatenate(at), np.concatenate(how)
     order = np.lexsort((-how, at))
     at, how = at[order], how[order]
@@ -53,10 +79,18 @@ def bisected(total: int, limit: int, places: np.ndarray, strengths: np.ndarray,
     """(first token, strength of the cut before it) of each core piece of at most `limit` tokens.
 
     A span over the limit is cut at the strongest boundary in its middle half, of equal ones the nearest to the
-    midpoint; without one there, nearest to the midpoint among the token ends that end a character (`whole`), else at the
-    midpoint. Both parts are treated likewise.
+    midpoint; without one there, at the boundary nearest to the midpoint, first of those that leave both parts within the
+    limit, then of all in the span; without any, nearest to the midpoint among the token ends that end a character
+    (`whole`), else at the midpoint. Both parts are treated likewise.
     """
-    out, todo = [], [(0, total, 5)]
+
+    def nearest(lo: int, hi: int, mid: int) -> int | None:
+        i, j = np.searchsorted(places, lo, "left"), np.searchsorted(places, hi, "right")
+        k = int(np.searchsorted(places, mid, "left"))
+        best = [x for x in (k - 1, k) if i <= x < j]
+        return min(best, key=lambda x: (abs(int(places[x]) - mid), -int(strengths[x]))) if best else (int(j) - 1 if k >= j else int(i)) if j > i else None
+
+    out, todo = [], [(0, total, len(NAMES) - 1)]
     while todo:
         s, e, how = todo.pop()
         if e - s <= limit:
@@ -70,6 +104,8 @@ def bisected(total: int, limit: int, places: np.ndarray, strengths: np.ndarray,
             near = strengths[i:j].astype(np.int64) * (total + 1) - np.abs(places[i:j] - mid)
             k = i + int(np.argmax(near))
             cut, kind = int(places[k]), int(strengths[k])
+        elif (k := next((x for x in (nearest(max(s + 1, e - limit), min(e - 1, s + limit), mid), nearest(s + 1, e - 1, mid)) if x is not None), None)) is not None:
+            cut, kind = int(places[k]), int(strengths[k])
         else:
             i, j = np.searchsorted(whole, lo, "left"), np.searchsorted(whole, hi, "right")
             if j > i:
@@ -119,8 +155,9 @@ def pieces(rows: DataFrame, limits: DataFrame, key: str = "doc_id", text: str =
     limits: kind, max_tokens, overlap_tokens; a table someone wrote by hand, one row a kind (of several, the smallest
     limit holds). A piece is a run of the text's own tokens, of at most max_tokens; each but the first starts with the last
     overlap_tokens tokens of the one before. Cuts are made by bisection: at the strongest natural boundary near the middle
-    (paragraph, line, sentence, clause, word), on and on until cores fit the limit less the overlap. `boundary` names the
-    kind of cut in front of the core; only texts without any boundary there are cut between characters.
+    (paragraph, line, sentence, clause, word, weak), else at the nearest one in the span, on and on until cores fit the limit
+    less the overlap. `boundary` names the kind of cut in front of the core; only spans without any boundary are cut between
+    characters.
 
     Defined results: a text within its limit, and one whose kind is null or has no limit, is one piece; so is a null or
     empty text, with 0 tokens. An overlap that leaves no room is lowered to the limit less one. A piece whose first

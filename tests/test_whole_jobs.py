@@ -3,10 +3,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jointmill.llm import mixture
+from jointmill.llm import mixture, pieces
 from jointmill.operators import grouping, joins, similarity
 from jointmill.plans import core_queries, gated_queries, pipelines
 from verify import compare, duck
@@ -99,3 +100,21 @@ def test_mix_of_null_and_repeated_documents(spark):
     out = mixture.mixed(mix, docs, block=32).groupBy("source").agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("k")).collect()
     said = {r["source"]: (r["actual_tokens"], r["filled"]) for r in mixture.report(mix, docs, block=32).collect()}
     assert {r["source"]: (r["n"], r["k"]) for r in out} == said
+
+
+def test_cuts_take_boundaries_outside_the_middle_half():
+    some = lambda *places: (np.array(places, np.int64), np.full(len(places), 2, np.int64))
+    cuts = lambda total, limit, *places: pieces.bisected(total, limit, *some(*places), np.arange(1, total + 1))
+    assert cuts(240, 224, 40) == [(0, 6), (40, 2)] and cuts(240, 224, 200) == [(0, 6), (200, 2)]
+    assert cuts(240, 224, 20, 40, 239) == [(0, 6), (40, 2)]
+    assert cuts(240, 224, 5) == [(0, 6), (5, 2), (122, 0)]  # neither part of a cut at 5 is left uncut between words
+    assert cuts(240, 224) == [(0, 6), (120, 0)] and cuts(224, 224, 40) == [(0, 6)]
+
+
+@pytest.mark.parametrize("between", ["\u3000", "\u00a0", "\u2028", "\u2009\u2009", ".", ",", "...", "؟"])
+def test_weak_boundaries(between):
+    raw = f"solder{between}joint".encode()
+    at, how = pieces.boundaries(raw)
+    inside = between if between[0] in ".,؟" else ""
+    assert (at.tolist(), how.tolist()) == ([len(f"solder{inside}".encode())], [1])
+    assert [pieces.NAMES[k] for k in pieces.boundaries(f"a b.c{between}d. e".encode())[1]][0] == "word"
