@@ -9,6 +9,7 @@ from jointmill.functions.paths import IN_SCOPE, LIGHT, TASKS, extension, file_na
 
 #: Extensions of photos.
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
+NO_SETUP = "<no setup folder>"
 
 
 def described(files: DataFrame, path: str = "path") -> DataFrame:
@@ -104,3 +105,9 @@ def duplicate_sample(rows: DataFrame, name: str, place: str, content: str, size:
     order = [F.desc("is_head"), F.when(F.col("is_head"), -F.col("size")).otherwise(0), F.col(name)]
     same = F.when(F.col("there") == F.col("copies"), F.col("k") == 1)
     return p.orderBy(*order).limit(size).select(name, "copies", same.alias("identical"))
+
+
+def brightness(photos: DataFrame) -> DataFrame:
+    """(board, setup, images, mean_brightness) of V1 photos with a board; photos that weren't decoded are left out, a missing setup is marked."""
+    p = photos.where("viewpoint = 'V1' and board is not null and brightness is not null")
+    return p.groupBy("board", F.coalesce("setup", F.lit(NO_SETUP)).alias("setup")).agg(F.count("*").alias("images"), F.avg("brightness").alias("mean_brightness"))

@@ -15,16 +15,29 @@ from jointmill.operators import grouping, inventory, joins, metrics, polygons, s
 from jointmill.operators.guards import require_unique
 from jointmill.plans import options
 from jointmill.sources import annotations as ann
-from jointmill.sources import tables
+from jointmill.sources import images, tables
 
 
 def audit(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Tables of the inventory: files by extension and folder, duplicate names, tokens, cells, labels, unreadable files."""
+    """Tables of the inventory: files by extension and folder, duplicate names, tokens, cells, labels, unreadable files,
+    where annotated photos are, which annotations are ambiguous or lack a photo, joint coverage, brightness of V1 photos by board and
+    setup, and a sample of duplicate contents."""
     files = inventory.described(tables.list_files(spark, root))
     photos = files.where("is_image")
     texts = ann.read_texts(spark, root)
     a = ann.annotations(texts)
+    base = root.rstrip("/").removeprefix("file://")
+    below = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/+", "/"), f"^{base}/", "")
+    own = a.select(F.col("image_name").alias("name"), F.regexp_extract(below("source"), r"^(.*)/[^/]*$", 1).alias("own"))
+    found = joins.resolve_prefer_elsewhere(own, photos.select("name", "folder", "path"), "name", "own")
+    at = inventory.described(found.where("resolved_path is not null").select("resolved_path"), "resolved_path")
+    pixels = images.pixel_facts(spark, root).withColumn("path", below("path"))
+    one = inventory.deepest(photos, "name", "path").select("path").join(photos.select("path", "board", "viewpoint", "setup"), "path").join(pixels, "path")
+    contents = photos.select("name", "folder", "path").join(tables.content_hashes(spark, root).withColumn("path", below("path")), "path")
     return {
+        "locations": inventory.value_counts(at, ["folder"]), "ambiguous": found.where("ambiguous").select("name").distinct(), "missing": found.where("resolved_path is null").select("name").distinct(),
+        "coverage": inventory.coverage(at.where("task = 'joint' and board is not null and package is not null"), ["board", "package"], "viewpoint", ["V2", "V2.1"]),
+        "brightness": inventory.brightness(one), "duplicates": inventory.duplicate_sample(contents, "name", "folder", "md5"),
         "extensions": inventory.value_counts(files, ["ext"]), "folders": inventory.value_counts(photos, ["folder"]), "layouts": inventory.value_counts(a.select("source", "layout").distinct(), ["layout"]),
         "mirrored": inventory.mirrored_folders(photos, "name", "folder"), "tokens": inventory.position_table(photos, inventory.name_tokens("stem"), "path"),
         "segments": inventory.position_table(photos, F.split("folder", "/"), "path"), "outliers": inventory.token_outliers(photos, inventory.name_tokens("stem"), "path"),

@@ -1,7 +1,10 @@
 """Queries and operators that once did less than the whole job."""
 
+import json
 import os
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -118,3 +121,30 @@ def test_weak_boundaries(between):
     inside = between if between[0] in ".,؟" else ""
     assert (at.tolist(), how.tolist()) == ([len(f"solder{inside}".encode())], [1])
     assert [pieces.NAMES[k] for k in pieces.boundaries(f"a b.c{between}d. e".encode())[1]][0] == "word"
+
+
+def png(gray):
+    part = lambda k, v: struct.pack(">I", len(v)) + k + v + struct.pack(">I", zlib.crc32(k + v))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"".join(b"\0" + bytes([gray] * 2) for _ in range(2)))) + part(b"IEND", b"")
+
+
+def test_audit_has_all_tables(spark, tmp_path, rows):
+    def put(path, data):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(data if isinstance(data, bytes) else json.dumps(data).encode())
+
+    for i, (place, gray) in enumerate([("V1/Setup1", 10), ("V1/Setup1", 30), ("V1/Setup2", 200), ("V1", 90)]):
+        put(f"D/CS1/R0805/{place}/p{i}.png", png(gray))
+    put("D/CS1/R0805/V1/Setup2/broken.png", b"no picture")
+    put("Labeled/p0.png", png(10))  # a copy: counted once
+    for place in ("D/CS1/R0805/V2", "D/CS1/R0805/V2.1", "D/CS2/R0805/V2"):
+        put(f"{place}/same.png", png(5 if "CS2" in place else 4))
+    put("D/CS1/R0805/V2/j.png", png(50))
+    for name in ("j", "same", "gone"):
+        put(f"Labeled/{name}.json", {"imagePath": f"{name}.png", "shapes": [{"label": "good", "points": [[1, 2]]}]})
+    a = pipelines.audit(spark, str(tmp_path))
+    assert rows(a["brightness"], "board", "setup", "images", "mean_brightness") == [("CS1", "<no setup folder>", 1, 90.0), ("CS1", "Setup1", 2, 20.0), ("CS1", "Setup2", 1, 200.0)]
+    assert rows(a["ambiguous"]) == [("same.png",)]
+    assert rows(a["missing"]) == [("gone.png",)]
+    assert sum(n for _, n in rows(a["locations"], "folder", "n")) == 2 and sum(r[2] for r in rows(a["coverage"], "board", "package", "total")) == 2
+    assert rows(a["duplicates"], "name", "identical") == [("p0.png", True), ("same.png", False)]
