@@ -6,11 +6,9 @@ import random
 import struct
 import zlib
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jointmill.llm import mixture, pieces
 from jointmill.operators import grouping, joins, similarity
 from jointmill.plans import core_queries, gated_queries, pipelines
 from verify import compare, duck
@@ -86,43 +84,6 @@ def test_predictions_of_another_crop_set(spark, rows):
     assert sorted(r[0] for r in rows(odd, "reason")) == ["no crop"] * 2 + ["other label"] * 3
 
 
-def test_mix_of_null_and_repeated_documents(spark):
-    rng = random.Random(4)
-    text = lambda: " ".join(rng.choice(["solder", "joint", "spike", "ok"]) for _ in range(rng.randrange(5, 90)))
-    data = [(None, text(), "a") for _ in range(20)] + [(1, text(), "a")] * 2 + [(i % 3, text(), "a") for i in range(20)] + [(None, text(), "nulls") for _ in range(9)]
-    data += [(1, text(), "b"), (7, None, "a"), (8, text(), None), (None, None, None)]
-    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
-    tokens = mixture.by_source(docs, True)
-    want = {s: sorted(r["ids"] for r in tokens.where(F.col("source") == s).collect() if r["n"]) for s in ("a", "b", "nulls")}
-    blocks = mixture.packed(tokens, 40, block=32, chunk=10).orderBy("source", "block").collect()
-    for s, texts in want.items():
-        own = [r for r in blocks if r["source"] == s]
-        assert [r["block"] for r in own] == list(range(len(own))) and all(len(r["ids"]) == 32 for r in own[:-1])
-        assert sorted(x for r in own for x in r["ids"]) == sorted(x for t in texts for x in t)
-    mix = spark.createDataFrame([(1, "a", 50, 9, 900), (1, "nulls", 50, 9, 900)], "mix_id bigint, source string, weight_pct int, max_repeats int, budget_tokens bigint")
-    out = mixture.mixed(mix, docs, block=32).groupBy("source").agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("k")).collect()
-    said = {r["source"]: (r["actual_tokens"], r["filled"]) for r in mixture.report(mix, docs, block=32).collect()}
-    assert {r["source"]: (r["n"], r["k"]) for r in out} == said
-
-
-def test_cuts_take_boundaries_outside_the_middle_half():
-    some = lambda *places: (np.array(places, np.int64), np.full(len(places), 2, np.int64))
-    cuts = lambda total, limit, *places: pieces.bisected(total, limit, *some(*places), np.arange(1, total + 1))
-    assert cuts(240, 224, 40) == [(0, 6), (40, 2)] and cuts(240, 224, 200) == [(0, 6), (200, 2)]
-    assert cuts(240, 224, 20, 40, 239) == [(0, 6), (40, 2)]
-    assert cuts(240, 224, 5) == [(0, 6), (5, 2), (122, 0)]  # neither part of a cut at 5 is left uncut between words
-    assert cuts(240, 224) == [(0, 6), (120, 0)] and cuts(224, 224, 40) == [(0, 6)]
-
-
-@pytest.mark.parametrize("between", ["\u3000", "\u00a0", "\u2028", "\u2009\u2009", ".", ",", "...", "؟"])
-def test_weak_boundaries(between):
-    raw = f"solder{between}joint".encode()
-    at, how = pieces.boundaries(raw)
-    inside = between if between[0] in ".,؟" else ""
-    assert (at.tolist(), how.tolist()) == ([len(f"solder{inside}".encode())], [1])
-    assert [pieces.NAMES[k] for k in pieces.boundaries(f"a b.c{between}d. e".encode())[1]][0] == "word"
-
-
 def png(gray):
     part = lambda k, v: struct.pack(">I", len(v)) + k + v + struct.pack(">I", zlib.crc32(k + v))
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"".join(b"\0" + bytes([gray] * 2) for _ in range(2)))) + part(b"IEND", b"")
