@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from jointmill.functions.labels import class_number
 
-#: A key counts as hot from this share of all rows on, so there are at most HOT_PARTS hot keys; HOT_LEAST rows burden no task.
-HOT_PARTS, HOT_LEAST = 1000, 10_000
+#: Rows of one key that a task takes without ado, and how many hotter keys are looked up by a broadcast at most.
+TASK_ROWS, HOT_KEYS = 1_000_000, 100_000
 
 
-def skew_safe_lookup(rows: DataFrame, per_key: DataFrame, key: str, degree: str, total: int) -> DataFrame:
+def skew_safe_lookup(rows: DataFrame, per_key: DataFrame, key: str, degree: str, total: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """Inner join of rows with one row per key, where `degree` of per_key counts the rows of its key.
 
-    Keys with at least total / HOT_PARTS rows, of which there are at most HOT_PARTS, are looked up by a broadcast
-    whose size is thereby bounded; the others are joined by shuffling on the key, so no task gets a hot key.
+    Keys with more than `task_rows` rows are looked up by a broadcast, the others are joined by shuffling on the key.
+    `total` rows hold at most total / task_rows such keys; should these be over HOT_KEYS, the bound rises to
+    total / HOT_KEYS rows, so the broadcast never holds more than HOT_KEYS rows.
     """
-    hot_from = max(HOT_LEAST, -(-total // HOT_PARTS))
+    hot_from = max(task_rows, -(-total // HOT_KEYS))
     if total < hot_from:
         return rows.join(per_key.drop(degree), key)
     hot = per_key.where(F.col(degree) >= hot_from).drop(degree)

@@ -217,9 +217,26 @@ def test_joins(spark, rows):
     hot = frame(spark, [("h", i) for i in range(15000)] + [("c", 1)], "k string, i int")
     keys = hot.groupBy("k").agg(F.count("*").alias("n")).withColumn("w", F.length("k"))
     assert joins.skew_safe_lookup(hot, keys, "k", "n", 15001).count() == 15001
+    assert joins.skew_safe_lookup(hot, keys, "k", "n", 15001, task_rows=1000).count() == 15001
     assert joins.skew_safe_lookup(hot.limit(50), keys, "k", "n", 50).count() == 50
 
 
+def test_scope_removes_what_it_wrote(spark):
+    import os
+
+    from jointmill.session import dropped, scope, written
+
+    at = lambda df: df._jointmill_path.removeprefix("file://")
+    with scope(spark):
+        a, b = written(spark.range(3)), written(spark.range(4))
+        assert a.count() == 3 and os.path.isdir(at(a))
+        dropped(a)
+        assert not os.path.isdir(at(a)) and b.count() == 4
+    assert not os.path.isdir(at(b))
+    kept = written(spark.range(2))
+    assert kept.count() == 2
+
+
 def test_guards(spark):
     df = frame(spark, [("a", 1), ("a", 2), (None, 3)], "k string, v int")
     assert guards.missing_columns(df, ["k", "z"]) == ["z"]
