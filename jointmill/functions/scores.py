@@ -39,6 +39,27 @@ def hamming_hex(a: Column | str, b: Column | str, digits: int = 64) -> Column:
     return total
 
 
+def print_words(hex_digits: Column | str, digits: int = 64) -> Column:
+    """A hex string as a struct of longs w0, w1, ..., sixteen digits each."""
+    c = col(hex_digits)
+    half = lambda at: F.conv(F.substring(c, at, 8), 16, 10).cast("long")
+    return F.struct(*[F.shiftleft(half(i * 16 + 1), 32).bitwiseOR(half(i * 16 + 9)).alias(f"w{i}") for i in range(digits // 16)])
+
+
+def word_digits(words: Column, digits: int = 64) -> Column:
+    """The hex string of print_words()."""
+    return F.lower(F.concat(*[F.lpad(F.hex(words[f"w{i}"]), 16, "0") for i in range(digits // 16)]))
+
+
+def hamming_words(a: Column, b: Column, digits: int = 64) -> Column:
+    """Differing bits of two structs of print_words()."""
+    total = None
+    for i in range(digits // 16):
+        d = F.bit_count(a[f"w{i}"].bitwiseXOR(b[f"w{i}"]))
+        total = d if total is None else total + d
+    return total.cast("int")
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product in double."""
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

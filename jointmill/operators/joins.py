@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jointmill.functions.labels import class_number
+from jointmill.session import dropped, written
 
 #: Rows of one key that a task takes without ado, and how many hotter keys are looked up by a broadcast at most.
 TASK_ROWS, HOT_KEYS = 1_000_000, 100_000
@@ -30,6 +31,29 @@ def skew_safe_lookup(rows: DataFrame, per_key: DataFrame, key: str, degree: str,
     return in_hot.unionByName(in_cold)
 
 
+#: Pairs of one key that a task makes without ado.
+TASK_PAIRS = 4_000_000
+
+
+def many_to_many(left: DataFrame, right: DataFrame, on: list[str], task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """Inner join on `on` whose keys may have many rows on both sides.
+
+    A key with over `task_pairs` pairs is cut: its left rows are dealt to as many parts as that takes, its right rows go to
+    every part, so the pairs of a hot key are made by many tasks. Nulls in `on` match nothing.
+    """
+    count = lambda d, n: d.select(*on).na.drop().groupBy(*on).agg(F.count("*").alias(n))
+    pairs = F.col("_l").cast("double") * F.col("_r")
+    hot = count(left, "_l").join(count(right, "_r"), on).where(pairs > task_pairs).withColumn("_parts", F.least("_l", F.ceil(pairs / task_pairs)).cast("int")).drop("_l", "_r")
+    hot = written(hot, "hot")
+    if hot.isEmpty():
+        dropped(hot)
+        return left.join(right, on)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), parts).cast("int")).drop("_parts")
+    copied = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [*on, "_part"]).drop("_part")
+
+
 def resolve_prefer_elsewhere(records: DataFrame, files: DataFrame, key: str, own: str, path: str = "path", place: str = "folder") -> DataFrame:
     """Left join on key with one file a record: files outside the record's own folder first, then smallest path.
 

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from jointmill.functions import scores
 from jointmill.operators import components, grouping, guards, inventory, joins, metrics, sampling, similarity, splits, windows
 
 
@@ -115,6 +116,44 @@ def test_hamming_pairs(spark, rows):
         assert set(rows(similarity.hamming_pairs(df, ["cell"], "id", "print", limit), "item_a", "item_b")) == want
 
 
+def test_hot_parts_are_cut_further(spark, rows, monkeypatch):
+    """Prints that share dark corners: hot parts at every level, and pairs at and around the limit."""
+    rng = random.Random(9)
+    base = [(rng.getrandbits(64) << 192) if k % 2 else rng.getrandbits(256) for k in range(20)]
+    prints = list({p: 0 for b in base for p in (b, *(b ^ sum(1 << k for k in rng.sample(range(256), n)) for n in (1, 9, 10, 11, 12)))})
+    cls = frame(spark, [("c", f"{p:064x}") for p in prints] + [("d", f"{p:064x}") for p in prints[:30]], "cell string, p string").select("cell", scores.print_words("p").alias("w"))
+    want = {(c, p, q) for c, ps in (("c", prints), ("d", prints[:30])) for p in ps for q in ps if bin(p ^ q).count("1") <= 10}
+    for part_pairs in (1 << 30, 40, 1):
+        got = similarity.near_classes(cls, cls, ["cell"], 10, part_pairs=part_pairs)
+        assert {(r["cell"], int(r["p"], 16), int(r["q"], 16)) for r in got.select("cell", scores.word_digits(F.col("wa")).alias("p"), scores.word_digits(F.col("wb")).alias("q")).collect()} == want
+        assert got.count() == len(want)
+
+
+def test_many_to_many(spark, rows):
+    left = frame(spark, [("h", i) for i in range(300)] + [("c", 1), (None, 2)], "k string, a int")
+    right = frame(spark, [("h", i) for i in range(200)] + [("c", 5), ("x", 6), (None, 7)], "k string, b int")
+    want = left.join(right, "k")
+    for task_pairs in (1 << 30, 1000, 1):
+        got = joins.many_to_many(left, right, ["k"], task_pairs)
+        assert got.columns == want.columns and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("tile", [5, 1024])
+def test_tiles(spark, rows, tile):
+    rng = random.Random(5)
+    prints = [rng.getrandbits(256) for _ in range(40)]
+    df = frame(spark, [(i, "cd"[i % 3 == 0], f"{p:064x}") for i, p in enumerate([*prints, *prints[:5]])], "id int, cell string, print string")
+    every = [*prints, *prints[:5]]
+    want = {(i, j) for i in range(45) for j in range(i + 1, 45) if (i % 3 == 0) == (j % 3 == 0) and bin(every[i] ^ every[j]).count("1") <= 120}
+    got = rows(similarity.hamming_pairs(df, ["cell"], "id", "print", 120, tile=tile), "item_a", "item_b")
+    assert sorted(got) == sorted(want)
+    v = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(45)]
+    vec = frame(spark, [(i, "cd"[i % 3 == 0], x) for i, x in enumerate(v)], "id int, cell string, v array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5  # noqa: E731, B905
+    want = {(i, j) for i in range(45) for j in range(i + 1, 45) if (i % 3 == 0) == (j % 3 == 0) and cos(v[i], v[j]) >= 0.2}
+    assert sorted(rows(similarity.cosine_pairs(vec, ["cell"], "id", "v", 0.2, tile=tile), "item_a", "item_b")) == sorted(want)
+
+
 def test_cosine_pairs(spark, rows):
     df = frame(spark, [(0, "c", [1.0, 0.0]), (1, "c", [7.0, 0.0]), (2, "c", [0.0, 1.0]), (3, "d", [1.0, 0.0]), (4, "c", None)], "id int, cell string, v array<double>")
     assert rows(similarity.cosine_pairs(df, ["cell"], "id", "v", 0.99), "item_a", "item_b") == [(0, 1)]
