@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from jointmill.functions.labels import split_name
 from jointmill.functions.paths import board_of, component_number, plain_path, trimmed
-from jointmill.functions.scores import fingerprint_hex, hamming_hex
-from jointmill.session import written
+from jointmill.functions.scores import fingerprint_hex, print_words
+from jointmill.operators.joins import many_to_many
+from jointmill.operators.similarity import near_classes
+from jointmill.session import dropped, written
 
-#: Two fingerprints within NEAR bits agree in at least one of NEAR + 1 parts: 9 of 24 bits and 2 of 20.
+#: Two fingerprints are near within so many of 256 bits.
 NEAR = 10
-PARTS = [(i * 6 + 1, 6) for i in range(9)] + [(55, 5), (60, 5)]
+#: Why two photos overlap: equal as they are, equal only after normalisation, near by fingerprint.
+EXACT = ("same_group", "same_number", "same_name", "near_print")
+REASONS = (*EXACT, "alike_group", "alike_name")
 
 
 def canonical(text: Column) -> Column:
@@ -25,46 +29,71 @@ def split_photos(photos: DataFrame, crops: DataFrame) -> DataFrame:
     p = photos.select(
         "photo_id", plain_path("dataset_path").alias("path"), board_of("board", "dataset_path").alias("board"), "package",
         F.nullif(trimmed("group_id"), F.lit("")).alias("group_id"), component_number("component_hint", "image_name").alias("number"),
-        F.nullif(F.lower("image_name"), F.lit("")).alias("name"), fingerprint_hex("fingerprint").alias("print"),
+        F.nullif(F.lower("image_name"), F.lit("")).alias("name"), print_words(fingerprint_hex("fingerprint")).alias("w"), fingerprint_hex("fingerprint").isNotNull().alias("readable"),
     ).where("photo_id is not null and board is not null and package is not null").distinct()
     s = crops.select(plain_path("dataset_path").alias("path"), split_name("split").alias("split")).where("split is not null").distinct()
     return p.join(s, "path").drop("path").withColumn("side", F.when(F.col("split") == "train", "train").otherwise("eval"))
 
 
-def _hashes(p: DataFrame) -> DataFrame:
-    """A row for every key a photo can be found by: hash of block, kind and canonical value."""
-    h = lambda kind, v: F.when(v.isNotNull(), F.xxhash64(F.lit(kind), "board", "package", v))
-    keys = [h("group", canonical(F.col("group_id"))), h("number", F.col("number")), h("name", canonical(F.col("name")))]
-    keys += [h(f"print{i}", F.substring("print", at, n)) for i, (at, n) in enumerate(PARTS)]
-    return p.select("photo_id", "side", F.explode(F.array_compact(F.array_distinct(F.array(*keys)))).alias("h"))
+def _keys(p: DataFrame) -> DataFrame:
+    """A row for every key of a photo: 128-bit hash of block, kind and canonical value, with the hash of the value as it is."""
+
+    def one(kind: str, value: Column, plain: Column) -> Column:
+        key = F.struct(F.xxhash64(F.lit(kind), "board", "package", plain).alias("a"), F.xxhash64(F.lit(f"{kind} again"), "board", "package", plain).alias("b"))
+        return F.when(plain.isNotNull() & (plain != ""), F.struct(key.alias("key"), F.lit(kind).alias("kind"), F.xxhash64(value).alias("raw")))
+
+    keys = [one("group", F.col("group_id"), canonical(F.col("group_id"))), one("number", F.col("number"), F.col("number")), one("name", F.col("name"), canonical(F.col("name")))]
+    # values of punctuation only are compared as they are
+    keys += [one(kind, F.col(c), F.when(canonical(F.col(c)) == "", F.col(c))) for kind, c in (("group", "group_id"), ("name", "name"))]
+    return p.select("side", "photo_id", "split", "board", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("side", "photo_id", "split", "board", "k.*").distinct()
+
+
+def _flags(**true: Column) -> list[Column]:
+    return [F.coalesce(true.get(r, F.lit(False)), F.lit(False)).alias(r) for r in REASONS]
 
 
 def cross_split_pairs(photos: DataFrame, crops: DataFrame) -> DataFrame:
-    """(photo_id_a, photo_id_b, split, board and the reasons) of a train and a val or test photo that are the same or nearly.
+    """(photo_id_a, photo_id_b, eval_photo, split, board, a flag a reason) of a train and a val or test photo of one board
+    and package that are the same or nearly.
 
-    Canonical keys of both sides are hashed and joined; what the hashes bring together is then compared as it is: same
-    group_id, same component number, same image name whatever its case, fingerprints within 10 of 256 bits. Equal parts
-    of fingerprints find all near ones, since ten differing bits can't touch eleven parts. Only block, kind and value in
-    common bring two photos together, and never two of one side. Unreadable, zero or null keys match nothing. A photo
-    that has crops on both sides counts on both, but never matches itself.
+    Hashes of canonical keys (group_id, component number, image name; lower case, punctuation and blanks as one blank) of
+    evaluation photos are joined with those of train photos: alike_group and alike_name mark pairs that are equal only in
+    that form, same_group, same_number and same_name those that are equal as they are (names whatever their case). Fingerprints
+    within 10 of 256 bits are found by near_classes(), photos of equal fingerprints as one class. A key or fingerprint
+    that a third of the photos share is dealt to many tasks; no pair is lost. Unreadable, zero or null keys match nothing.
+    A photo that has crops on both sides counts on both, but never matches itself. Empty tables give an empty result.
     """
     p = written(split_photos(photos, crops), "split-photos")
-    h = _hashes(p)
-    left = h.where("side = 'eval'").select("h", F.col("photo_id").alias("e")).distinct()
-    right = h.where("side = 'train'").select("h", F.col("photo_id").alias("t")).distinct()
-    pairs = written(left.join(right, "h").where("e <> t").select("e", "t").distinct(), "candidates")
-    side = lambda s, k: p.where(f"side = '{s}'").select(F.col("photo_id").alias(k), F.struct("board", "package", "group_id", "number", "name", "print", "split").alias(f"{k}_f"))
-    both = pairs.join(side("eval", "e"), "e").join(side("train", "t"), "t")
-    same = lambda f: F.coalesce(F.col(f"e_f.{f}") == F.col(f"t_f.{f}"), F.lit(False))
-    near = F.coalesce(hamming_hex(F.col("e_f.print"), F.col("t_f.print")) <= NEAR, F.lit(False))
-    reasons = {"same_group": same("group_id"), "same_number": same("number"), "same_name": same("name"), "near_print": near}
-    both = both.where(same("board") & same("package")).withColumns(reasons).where(" or ".join(reasons))
-    return both.select(F.least("e", "t").alias("photo_id_a"), F.greatest("e", "t").alias("photo_id_b"), F.col("e").alias("eval_photo"), F.col("e_f.split").alias("split"), F.col("e_f.board").alias("board"), *reasons)
+    k = _keys(p)
+    left = k.where("side = 'eval'").select("key", "kind", F.col("raw").alias("raw_e"), F.col("photo_id").alias("e"), "split", "board")
+    right = k.where("side = 'train'").select("key", F.col("raw").alias("raw_t"), F.col("photo_id").alias("t"))
+    as_is = F.col("raw_e") == F.col("raw_t")
+    kind = lambda n: F.col("kind") == n
+    flags = _flags(same_group=kind("group") & as_is, same_number=kind("number"), same_name=kind("name") & as_is, alike_group=kind("group") & ~as_is, alike_name=kind("name") & ~as_is)
+    by_key = many_to_many(left, right, ["key"]).where("e <> t").select("e", "t", "split", "board", *flags)
+    prints = p.where("readable").select("side", "photo_id", "split", "board", "package", "w").distinct()
+    block = ["board", "package"]
+    side = lambda s, w: prints.where(f"side = '{s}'").withColumnRenamed("w", w)
+    classes = [written(side(s, "w").select(*block, "w").distinct(), "prints") for s in ("eval", "train")]
+    near = written(near_classes(*classes, block, NEAR), "near-prints")
+    for c in classes:
+        dropped(c)
+    of_eval = near.join(side("eval", "wa").select(*block, "wa", F.col("photo_id").alias("e"), "split"), [*block, "wa"])
+    by_print = many_to_many(of_eval.select(*block, "wb", "e", "split"), side("train", "wb").select(*block, "wb", F.col("photo_id").alias("t")), [*block, "wb"])
+    by_print = by_print.where("e <> t").select("e", "t", "split", "board", *_flags(near_print=F.lit(True)))
+    both = by_key.unionByName(by_print).groupBy("e", "t", "split", "board").agg(*[F.max(r).alias(r) for r in REASONS])
+    alike = {"alike_group": F.col("alike_group") & ~F.col("same_group"), "alike_name": F.col("alike_name") & ~F.col("same_name")}
+    both = both.withColumns(alike)
+    return both.select(F.least("e", "t").alias("photo_id_a"), F.greatest("e", "t").alias("photo_id_b"), F.col("e").alias("eval_photo"), "split", "board", *REASONS)
+
+
+def exact_pairs(pairs: DataFrame) -> DataFrame:
+    """(photo_id_a, photo_id_b) of pairs that are equal in a key as it is, or near by fingerprint."""
+    return pairs.where(" or ".join(EXACT)).select("photo_id_a", "photo_id_b").distinct()
 
 
 def overlap_report(pairs: DataFrame) -> DataFrame:
     """Photos of each evaluation split and board that are also in train, and the pairs behind them by reason."""
-    one = pairs.groupBy("split", "board", "photo_id_a", "photo_id_b", "eval_photo").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in ("same_group", "same_number", "same_name", "near_print")])
-    return one.groupBy("split", "board").agg(
-        F.count_distinct("eval_photo").alias("photos"), F.count("*").alias("pairs"), *[F.sum(c).alias(f"pairs_{c}") for c in ("same_group", "same_number", "same_name", "near_print")]
+    return pairs.groupBy("split", "board").agg(
+        F.count_distinct("eval_photo").alias("photos"), F.count("*").alias("pairs"), *[F.sum(F.col(c).cast("int")).alias(f"pairs_{c}") for c in REASONS]
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jointmill.llm.tokens import Encoder, encoder, texts_of, vocabulary_path
+from jointmill.llm.tokens import Encoder, encoder, sent, texts_of
 from jointmill.session import spread
 
 #: Strength of a cut: between paragraphs, lines, sentences, clauses, words, at other white space or a mark without a blank after it, or at any character.
@@ -163,14 +163,14 @@ def pieces(rows: DataFrame, limits: DataFrame, key: str = "doc_id", text: str =
     empty text, with 0 tokens. An overlap that leaves no room is lowered to the limit less one. A piece whose first
     token starts, or last ends, inside a character has the whole character in its text. Texts of any length are cut whole.
     """
-    vocabulary = path or vocabulary_path()
+    vocabulary = sent(rows.sparkSession, path)
     one = limits.where(F.col("kind").isNotNull()).groupBy("kind").agg(F.min(F.struct("max_tokens", "overlap_tokens")).alias("l"))
     one = one.select(F.col("kind").alias(kind), F.col("l.max_tokens").cast("int").alias("_most"), F.col("l.overlap_tokens").cast("int").alias("_shared"))
     joined = rows.select(key, text, kind).join(F.broadcast(one), kind, "left").select(key, text, "_most", "_shared")
     schema = f"`{key}` {dict(rows.dtypes)[key]}, piece int, token_start int, token_end int, n_tokens int, boundary string" + (", text string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(vocabulary.value)
         for batch in batches:
             took: list[int] = []
             out: list[tuple] = []

@@ -28,16 +28,36 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("run_id", "label", "pred", "crop_id")
 
 
-#: Share of a choice's crops that p2_sample draws.
+#: Share of a choice's crops that p2_sample and p2_growth draw.
 SAMPLE_RATE = 0.2
 
 
-def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seed, crop_id): of every seed the sample of the crops on its boards."""
+def _crops_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed, crop_id, since) of the crops on the boards of every seed, with the time a crop was first there."""
     crops = table(spark, sf_dir, "crops")
-    ids = crops.groupBy(crop_key("dataset_path", "polygon_rank_x").alias("crop_id")).agg(F.min(board_of("board", "dataset_path")).alias("board"))
+    ids = crops.groupBy(crop_key("dataset_path", "polygon_rank_x").alias("crop_id")).agg(F.min(board_of("board", "dataset_path")).alias("board"), F.min("ingested_at").alias("since"))
     seeds = table(spark, sf_dir, "choices").select("seed", F.explode("boards").alias("board")).distinct()
-    return feistel.stable_sample(ids.join(seeds, "board"), "crop_id", SAMPLE_RATE, "seed").select("seed", "crop_id")
+    return ids.where("crop_id is not null").join(seeds, "board").select("seed", "crop_id", "since")
+
+
+def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed, crop_id): of every seed the sample of the crops on its boards."""
+    return feistel.stable_sample(_crops_of_seeds(spark, sf_dir).select("seed", "crop_id"), "crop_id", SAMPLE_RATE, "seed")
+
+
+def p2_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed, choice_index, crops, drawn, lost): samples drawn anew from the crop list of each version of every seed.
+
+    The list of a version holds the crops ingested until it was frozen, so it grows. `lost` counts crops of the version before
+    that its sample no longer holds, by the audit that p2_found uses.
+    """
+    versions = table(spark, sf_dir, "choices").groupBy("seed", "choice_index").agg(F.min("frozen_at").alias("frozen_at"))
+    lists = _crops_of_seeds(spark, sf_dir).join(versions, "seed").where("since <= frozen_at").select("seed", "choice_index", "crop_id", "frozen_at")
+    drawn = feistel.stable_sample(lists, "crop_id", SAMPLE_RATE, "seed")
+    lost = feistel.broken_promises(drawn.withColumn("split", F.lit("val")), versions, ("val",))
+    count = lambda d, n: d.groupBy("seed", "choice_index").agg(F.count("*").alias(n))
+    out = count(lists, "crops").join(count(drawn, "drawn"), ["seed", "choice_index"], "left").join(count(lost, "lost"), ["seed", "choice_index"], "left")
+    return out.na.fill(0, ["drawn", "lost"])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,21 +71,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARES = {"train": 0.6, "val": 0.2, "test": 0.2}
 
 
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_splits.photo_components(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "tag_pairs"))[0]
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos, _ = entity_splits.photo_components(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "tag_pairs"))
-    return entity_splits.linked_groups(photos)
+    return entity_splits.linked_groups(_components(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(group_id, component): what p3_found says in pairs, one row a group."""
+    return entity_splits.component_groups(_components(spark, sf_dir))
 
 
 def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(crop_id, group_id, class_name, component, split) of every different crop."""
-    photos, _ = entity_splits.photo_components(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "tag_pairs"))
-    crops = entity_splits.crop_records(table(spark, sf_dir, "crops"), photos)
+    crops = entity_splits.crop_records(table(spark, sf_dir, "crops"), _components(spark, sf_dir))
     return entity_splits.entity_splits(crops, "component", "class_name", SHARES)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = overlap.cross_split_pairs(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "crops"))
-    return pairs.select("photo_id_a", "photo_id_b").distinct()
+    return overlap.exact_pairs(overlap.cross_split_pairs(table(spark, sf_dir, "photo_groups"), table(spark, sf_dir, "crops")))
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,19 +99,21 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = fusion.survivors(table(spark, sf_dir, "polygons"))
-    return best.where("several").select("set_id", "class", "polygon_rank_x")
+    return fusion.duplicate_joints(table(spark, sf_dir, "polygons"))
 
 
 def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.survivors(table(spark, sf_dir, "polygons"))
 
 
+def p5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, joints, sensitivity, specificity) of every annotator and way of entry."""
+    return fusion.learned(table(spark, sf_dir, "polygons"))[0].select("source", "joints", "sensitivity", "specificity")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, report = quotas.target_sample(table(spark, sf_dir, "crops"), table(spark, sf_dir, "targets"))
-    # what falls short was drawn short; the exact comparison follows
-    drawn_short = "drawn < min_count or drawn * 100 < cast(target_pct as bigint) * sample_size"
-    return report.where(drawn_short).where("short_by_count or short_by_share").select("target_id")
+    report = quotas.shortfalls(table(spark, sf_dir, "crops"), table(spark, sf_dir, "targets"))
+    return report.where("short_by_count or short_by_share").select("target_id")
 
 
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +129,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # what can't reach its share stays below it in every mix drawn; the exact comparison follows
-    return p8_report(spark, sf_dir).where("actual_tokens < target_tokens").where("short").select("mix_id", "source")
+    return mixture.shortages(table(spark, sf_dir, "mixture"), table(spark, sf_dir, "documents")).where("short").select("mix_id", "source")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +151,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        p1_found, p2_found, p2_sample, p3_found, p3_split, p4_found, p4_report, p5_found, p5_survivors, p6_found, p6_sample, p6_report,
+        p1_found, p2_found, p2_sample, p2_growth, p3_found, p3_groups, p3_split, p4_found, p4_report, p5_found, p5_survivors, p5_quality, p6_found, p6_sample, p6_report,
         p7_ids, p8_found, p8_report, p8_mix, p9_found, p9_pieces,
     ]
     return {f.__name__: f for f in named}

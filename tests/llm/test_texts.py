@@ -31,6 +31,28 @@ def test_cuts_are_certain():
     assert len(at) > 10 and not any(OWN.joined[raw[i - 1], raw[i]] for i in at)
 
 
+def test_pairs_that_only_the_pattern_cuts():
+    """The few cut pairs that tokens hold: there the scanner's cut is the end of a word, and ids stay those of the whole text."""
+    assert 0 < len(OWN.held) < 60
+    for x, y in OWN.held:
+        for space in (c for c in map(chr, range(0x3001)) if c.encode()[0] == y and tokens.re.match(f"[{tokens.SPACE}]", c)):
+            before = [chr(x)] if x < 128 else [c for c in map(chr, range(0xA1, 0x800)) if c.encode()[-1] == x][:40]
+            for text in (f"{a}{space}b {a}{a}{space}{space}{a}" for a in before):
+                assert OWN.encode(text).tolist() == OWN.core.encode_ordinary(text)
+
+
+def test_unknown_vocabulary(spark, tmp_path):
+    import base64
+
+    own = "".join(f"{base64.b64encode(bytes([i])).decode()} {i}\n" for i in range(256)) + f"{base64.b64encode(b'a b').decode()} 256\n" + f"{base64.b64encode(b'a ').decode()} 257\n"
+    (tmp_path / "v.tiktoken").write_text(own)
+    with pytest.raises(ValueError, match="pattern"):
+        tokens.encoder(str(tmp_path / "v.tiktoken"))
+    df = spark.createDataFrame([("a b",)], "text string")
+    got = tokens.encoded(df, path=str(tmp_path / "v.tiktoken"), pattern=r"(?s:.+)").first()["ids"]
+    assert got == [256]  # this pattern has words across white space, so nothing is cut
+
+
 def test_encoded_table(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)], "doc_id bigint, text string, ids string")
     with_names = tokens.encoded(df.withColumnRenamed("ids", "n"), count="k")
@@ -104,9 +126,28 @@ def docs(spark):
 
 def test_draws_are_exact():
     for wanted in ([10, 20, 70], [0, 0, 5], [1000, 1, 0], []):
-        out = mixture.draw_shards(sum(wanted), wanted, np.random.default_rng(1))
-        assert [sum(c[i] for _, c in out) for i in range(len(wanted))] == wanted
-        assert all(sum(c) == mixture.SHARD for _, c in out[:-1])
+        out = list(mixture.draw_shards(sum(wanted), wanted, (1,)))
+        assert [sum(c[i] for _, c, _ in out) for i in range(len(wanted))] == wanted
+        assert all(sum(c) == mixture.SHARD for _, c, _ in out[:-1])
+        for a in range(0, len(out), 5):  # a shard's draw needs no other shard's
+            part = list(mixture.draw_shards(sum(wanted), wanted, (1,), a, a + 3))
+            assert [(s, c.tolist(), b.tolist()) for s, c, b in part] == [(s, c.tolist(), b.tolist()) for s, c, b in out[a : a + 3]]
+
+
+def test_shards_of_a_huge_mix():
+    wanted = [3 * 10**12, 10**12, 7]
+    n = -(-sum(wanted) // mixture.SHARD)
+    (shard, counts, before), *_ = mixture.draw_shards(sum(wanted), wanted, (5,), n // 3, n // 3 + 1)
+    assert shard == n // 3 and sum(counts) == mixture.SHARD and abs(before[0] / wanted[0] - 1 / 3) < 1e-5
+
+
+def test_hypergeometric_beyond_numpy():
+    """The sampler for totals that numpy refuses follows the same law."""
+    rng = np.random.default_rng(3)
+    own = [mixture.hypergeometric(rng, 300, 700, 200, least=0) for _ in range(4000)]
+    mean, var = 60, 200 * 0.3 * 0.7 * 800 / 999
+    assert abs(np.mean(own) - mean) < 5 * (var / 4000) ** 0.5 and abs(np.var(own) / var - 1) < 0.15
+    assert min(own) >= 0 and [mixture.hypergeometric(rng, 5, 0, 3, least=0), mixture.hypergeometric(rng, 0, 5, 3, least=0)] == [3, 0]
 
 
 def test_blocks_hold_every_token_once(spark):
