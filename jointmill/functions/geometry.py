@@ -47,6 +47,11 @@ def polygon_area(points: Column | str) -> Column:
     return F.when(n >= 3, F.abs(cross) / 2).otherwise(F.lit(0.0))
 
 
+def int_points(points: Column | str) -> Column:
+    """Vertices on whole pixels, halves to the even one, as outlines are drawn."""
+    return F.transform(col(points), lambda p: F.transform(p, lambda x: F.bround(x, 0).cast("int")))
+
+
 def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Corner points from the top left, clockwise."""
     return F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jointmill.functions.scores import ratio
 from jointmill.operators.components import connected_components
+from jointmill.session import written
 
 #: The two viewpoints whose photos are lit from opposite sides.
 LIT = ("V2", "V2.1")
@@ -21,11 +25,13 @@ def with_components(items: DataFrame, item: str, pairs: DataFrame, a: str = "ite
 def group_ids(items: DataFrame, root: str, path: str, method: str) -> DataFrame:
     """items with group_id `<method>_NNN` and group_size; groups are numbered by their smallest path, from 1.
 
-    The number of a group is its place among all groups, so the groups' smallest paths, one row a group, are ranked
-    in ranges of their order: ranges are numbered first, groups within them next.
+    The number of a group is its place among all groups, so the groups, one row each, are spread over ranges of their
+    smallest paths with equally many a range, whatever starts the paths have in common: ranges are numbered first, groups
+    within them next.
     """
     g = items.groupBy(root).agg(F.min(path).alias("_first"), F.count("*").alias("group_size"))
-    g = g.withColumn("_range", F.substring("_first", 1, 24))
+    # written, as ranges are found by sampling and must be the same for both steps
+    g = written(g.repartitionByRange("_first").withColumn("_range", F.spark_partition_id()), "groups")
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = g.groupBy("_range").agg(F.count("*").alias("k")).withColumn("_base", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
     g = g.join(base, "_range").withColumn("_n", F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy("_first")))
@@ -34,6 +40,87 @@ def group_ids(items: DataFrame, root: str, path: str, method: str) -> DataFrame:
     return items.join(g.select(root, label.alias("group_id"), "group_size"), root)
 
 
+#: Columns of a table of groups, whatever method made it.
+GROUP_COLUMNS = (
+    "image_name", "dataset_path", "board", "package", "cell", "viewpoint", "component_hint", "method", "threshold", "crop_tolerance", "fingerprint", "group_id", "group_size",
+)
+
+
+def group_rows(grouped: DataFrame, method: str, threshold: float | None = None, tolerance: float | None = None) -> DataFrame:
+    """Grouped photos in the columns that all methods share; parameters that don't apply, and missing fingerprints, are blank."""
+    have = grouped.columns
+    text = lambda v: F.lit("" if v is None else f"{v:g}")
+    made = {"method": F.lit(method), "threshold": text(threshold), "crop_tolerance": text(tolerance), "cell": F.concat_ws("/", "board", "package")}
+    blank = {c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("") for c in ("component_hint", "fingerprint")}
+    return grouped.select(*[(made | blank).get(c, F.col(c) if c in have else F.lit(None)).alias(c) for c in GROUP_COLUMNS])
+
+
+def manual_rows(images: DataFrame, memberships: DataFrame, path: str = "dataset_path") -> DataFrame:
+    """Photos grouped by hand-made sets, in the same columns as any other grouping; a photo of no set is a group of its own.
+
+    memberships: (node, root) as connected_components() gives them.
+    """
+    m = memberships.select(F.col("node").alias(path), F.col("root").alias("_r"))
+    rooted = images.join(m, path, "left").withColumn("_root", F.coalesce("_r", path)).drop("_r")
+    return group_rows(group_ids(rooted, "_root", path, "manual"), "manual")
+
+
+def group_of(memberships: DataFrame, path: str) -> DataFrame:
+    """(node, root) of the group that holds the path; no rows if none does."""
+    return memberships.join(F.broadcast(memberships.where(F.col("node") == path).select("root").limit(1)), "root").select("node", "root")
+
+
+def set_edges(sets: DataFrame, members: str) -> DataFrame:
+    """(a, b): every set of two or more as a star from its smallest member."""
+    s = sets.select(F.array_sort(F.array_distinct(F.filter(members, lambda x: x.isNotNull()))).alias("m")).where(F.size("m") > 1)
+    return s.select(F.get("m", F.lit(0)).alias("a"), F.explode("m").alias("b"))
+
+
+def pair_by_hint(items: DataFrame, cell: str, hint: str, item: str, edges: DataFrame) -> DataFrame:
+    """(node, root): hand-made groups, as (a, b) edges, united with the items of one cell that carry the same hint.
+
+    A hint's items are a star from the smallest, so one that many carry adds no more edges than items.
+    """
+    h = items.where(F.coalesce(F.col(hint), F.lit("")) != "").select(cell, hint, item).distinct()
+    hubs = h.groupBy(cell, hint).agg(F.min(item).alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return connected_components(edges.select("a", "b").unionByName(h.join(hubs, [cell, hint]).select("a", F.col(item).alias("b"))))
+
+
+def cell_columns(items: DataFrame, cell: str, viewpoint: str, item: str) -> DataFrame:
+    """(cell, viewpoint, column, place, item): the viewpoints of a cell side by side, each in the order of its items."""
+    views = items.where(F.col(cell).isNotNull()).select(cell, viewpoint).distinct()
+    views = views.withColumn("column", F.row_number().over(Window.partitionBy(cell).orderBy(viewpoint)))
+    w = Window.partitionBy(cell, "column").orderBy(item)
+    return items.join(views, [cell, viewpoint]).withColumn("place", F.row_number().over(w)).select(cell, viewpoint, "column", "place", item)
+
+
+def tag_summary(items: DataFrame, cell: str, viewpoint: str, item: str, memberships: DataFrame) -> DataFrame:
+    """One row on hand-made pairing: images, groups, tagged, untagged, pairable, unknown, percent (0.0 where nothing is pairable).
+
+    memberships: (node, root) of the sets; groups with two or more known members count.
+    """
+    known = items.select(F.col(item).alias("node")).distinct()
+    inside = memberships.join(known, "node")
+    groups = inside.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("groups"))
+    tagged = inside.agg(F.count_distinct("node").alias("tagged"))
+    unknown = memberships.join(known, "node", "left_anti").agg(F.count_distinct("node").alias("unknown"))
+    sizes = items.groupBy(cell, viewpoint).agg(F.count("*").alias("n")).groupBy(cell).agg(F.sum("n").alias("n"), F.max("n").alias("m"))
+    out = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("images"), F.coalesce(F.sum(2 * (F.col("n") - F.col("m"))), F.lit(0)).alias("pairable"))
+    for one in (groups, tagged, unknown):
+        out = out.crossJoin(F.broadcast(one))
+    return out.withColumns({"untagged": F.col("images") - F.col("tagged"), "percent": ratio(F.col("tagged") * 100, F.col("pairable"))})
+
+
+def sweep_at_tolerances(items: DataFrame, item: str, pairs_at: Callable[[float | None], DataFrame], tolerances: list[float | None], score: str, thresholds: list[float], below: bool) -> DataFrame:
+    """threshold_sweep() at every crop tolerance, with it in `tolerance`: each has crops, and so features and pairs, of its own.
+
+    pairs_at(tolerance) gives the scored pairs (item_a, item_b, score) of the crops cut with that tolerance, null for the
+    whole frame.
+    """
+    one = lambda t: threshold_sweep(items, item, pairs_at(t), score, thresholds, below).withColumn("tolerance", F.lit(t).cast("double"))
+    return reduce(DataFrame.unionByName, [one(t) for t in tolerances])
+
+
 def size_histogram(items: DataFrame, group: str) -> DataFrame:
     """(size, groups): how many groups have each size."""
     return items.groupBy(group).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))

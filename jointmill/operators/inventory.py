@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ def described(files: DataFrame, path: str = "path") -> DataFrame:
     f = files.withColumns({"folder": folder(path), "name": file_name(path), "stem": stem(path), "ext": extension(path)})
     f = f.withColumn("_i", path_info(F.split("folder", "/")))
     f = f.withColumns({k: F.col(f"_i.{k}") for k in ("board", "package", "viewpoint", "setup")}).drop("_i")
-    return f.withColumns({"is_image": F.col("ext").isin(*IMAGES), "task": lookup("viewpoint", TASKS), "in_scope": F.col("package").isin(*IN_SCOPE), "light_direction": lookup("viewpoint", LIGHT)})
+    whole = F.when(F.col("viewpoint").isNotNull(), F.concat_ws("/", "viewpoint", "setup"))
+    return f.withColumns({"is_image": F.col("ext").isin(*IMAGES), "task": lookup("viewpoint", TASKS), "in_scope": F.col("package").isin(*IN_SCOPE), "light_direction": lookup("viewpoint", LIGHT), "viewpoint_folder": whole})
 
 
 def value_counts(rows: DataFrame, columns: list[str], name: str = "n") -> DataFrame:
@@ -80,6 +83,60 @@ def ragged_cells(rows: DataFrame, cell: list[str], part: str) -> DataFrame:
     return c.withColumn("ragged", F.col("least") < F.col("most"))
 
 
+def cell_table(rows: DataFrame, cell: list[str] | None = None, part: str = "viewpoint_folder") -> DataFrame:
+    """(cell..., in_scope, counts, ragged): photos of every cell by viewpoint folder, setups apart; ragged if the counts differ.
+
+    counts is a map of folder to number; photos that lack a part of the cell or the folder are unclassified() instead.
+    """
+    cell = cell or ["board", "package"]
+    per = rows.na.drop(subset=[*cell, part]).groupBy(*cell, part).agg(F.count("*").alias("n"))
+    c = per.groupBy(*cell).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(part, "n")))).alias("counts"), (F.min("n") < F.max("n")).alias("ragged"))
+    return c.withColumn("in_scope", F.col(cell[-1]).isin(*IN_SCOPE))
+
+
+def unclassified(rows: DataFrame, needed: list[str] | None = None) -> DataFrame:
+    """Rows whose path doesn't tell board, package and viewpoint folder."""
+    return rows.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed or ["board", "package", "viewpoint_folder"]]))
+
+
+def select_cell(rows: DataFrame, board: str, package: str, viewpoint: str, setup: str | None = None) -> DataFrame:
+    """Photos of one cell, in the order of their names (then paths), which is the order they were taken in."""
+    there = (F.col("board") == board) & (F.col("package") == package) & (F.col("viewpoint") == viewpoint)
+    return rows.where(there if setup is None else there & (F.col("setup") == setup)).orderBy("name", "path")
+
+
+def found_paths(wanted: DataFrame, files: DataFrame, text: str = "wanted", path: str = "path") -> DataFrame:
+    """(wanted, path, how): the file that each text means: a whole path, else the only file of that name.
+
+    Either separator will do. how is path, name, ambiguous or none; the last two have a null path.
+    """
+    w = wanted.select(F.col(text).alias("wanted"), F.translate(text, "\\", "/").alias("_w")).distinct()
+    f = files.select(F.col(path).alias("path")).distinct()
+    names = f.groupBy(file_name("path").alias("_w")).agg(F.count("*").alias("_n"), F.min("path").alias("_one"))
+    j = w.join(f.withColumn("_w", F.col("path")), "_w", "left").join(names, "_w", "left")
+    how = F.when(F.col("path").isNotNull(), "path").when(F.col("_n") == 1, "name").when(F.col("_n") > 1, "ambiguous").otherwise("none")
+    return j.select("wanted", F.coalesce("path", F.when(F.col("_n") == 1, F.col("_one"))).alias("path"), how.alias("how"))
+
+
+def find_path(files: DataFrame, text: str, path: str = "path") -> str:
+    """The one file that the text means; none, or several, is an error that says so."""
+    r = found_paths(files.sparkSession.createDataFrame([(text,)], "wanted string"), files, path=path).first()
+    if r["path"] is None:
+        raise ValueError(f"{text!r} names {'no photo' if r['how'] == 'none' else 'more than one photo'}")
+    return r["path"]
+
+
+def by_task(rows: DataFrame, name: str = "name") -> DataFrame:
+    """(task, name) of annotated photos by the task of their place; one without a place or a task is unclassified."""
+    return rows.select(F.coalesce("task", F.lit("unclassified")).alias("task"), name)
+
+
+def annotation_gaps(found: DataFrame, name: str = "name") -> DataFrame:
+    """(name, reason): names of annotations that several files answer to, or none; of joins.resolve_prefer_elsewhere()."""
+    reason = F.when(F.col("resolved_path").isNull(), "missing").when(F.col("ambiguous"), "ambiguous")
+    return found.select(name, reason.alias("reason")).where("reason is not null").distinct()
+
+
 def coverage(rows: DataFrame, cell: list[str], part: str, values: list[str]) -> DataFrame:
     """Cells with a column of counts for each value of `part`, 0 where there is none, and their total."""
     p = rows.groupBy(*cell).pivot(part, values).agg(F.count(F.lit(1)))

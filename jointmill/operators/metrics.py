@@ -8,26 +8,29 @@ from pyspark.sql import functions as F
 from jointmill.functions.labels import CLASSES
 from jointmill.functions.scores import ratio
 
-#: Parts into which the scores of a run are cut, so that running sums aren't taken in one task.
-BUCKETS = 256
+#: Scores of a key that are summed up in one window, and ranges that a key's scores are cut into at most.
+TOGETHER, RANGES = 50_000, 512
 
 
-def running_sums(counts: DataFrame, by: list[str], score: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
+def running_sums(counts: DataFrame, by: list[str], score: str, sums: list[str], together: int = TOGETHER) -> DataFrame:
     """counts (one row a key and score) with cum_<s> of each sum over the scores from the highest down to its own, and all_<s>.
 
-    Scores of a key are cut into value ranges; totals of the ranges are summed first, then the scores within each, so no
-    task sorts all scores of a key. Null and NaN scores must have been removed.
+    A key with more than `together` scores is cut at quantiles of its own scores, so its ranges hold about equally many
+    however the scores crowd; totals of the ranges are summed first, then the scores within each, so no task sorts all
+    scores of a key. Quantiles may be approximate: they only say where to cut. Null and NaN scores must have been removed.
     """
-    ends = counts.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    places = [i / RANGES for i in range(1, RANGES)]
+    ends = counts.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx(score, places, F.lit(20 * RANGES)).alias("_q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(RANGES * together) / F.col("_n")).cast("int"))
+    cuts = F.when(F.col("_n") > together, F.array_distinct(F.filter("_q", lambda _, i: (i + 1) % step == 0)))
+    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], cuts.alias("_cuts"))
     if by:
-        right = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_lo", "_hi")
         on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
-        c = counts.join(right, on).drop(*[f"_k{i}" for i in range(len(by))])
+        c = counts.join(ends, on).drop(*[f"_k{i}" for i in range(len(by))])
     else:
         c = counts.crossJoin(F.broadcast(ends))
-    span = F.col("_hi") - F.col("_lo")
-    share = F.when(span > 0, (F.col(score) - F.col("_lo")) / F.nullif(span, F.lit(0.0))).otherwise(0.0)
-    c = c.withColumn("_b", F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")).drop("_lo", "_hi")
+    below = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda x: x < F.col(score))))
+    c = c.withColumn("_b", below).drop("_cuts")
     totals = c.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(by)], F.col("_b").alias("_kb"), *[F.coalesce(F.sum(f"_t_{s}").over(above), F.lit(0)).alias(f"_a_{s}") for s in sums], *[F.sum(f"_t_{s}").over(Window.partitionBy(*by)).alias(f"all_{s}") for s in sums])
@@ -38,6 +41,20 @@ def running_sums(counts: DataFrame, by: list[str], score: str, sums: list[str],
     return out.drop("_b", "_kb", *[f"_k{i}" for i in range(len(by))], *[f"_a_{s}" for s in sums])
 
 
+def medians(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """(by..., median_<v> of each value): exact medians by counts and running_sums(), so no buffer holds a key's values.
+
+    Null and NaN values don't count; a key without any has a null median.
+    """
+    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("x")) for v in values])).alias("_v")).select(*by, "_v.m", "_v.x")
+    counts = long.where("x is not null and not isnan(x)").groupBy(*by, "m", "x").agg(F.count("*").alias("n"))
+    c = running_sums(counts, [*by, "m"], "x", ["n"])
+    covers = lambda place: F.when((F.col("cum_n") - F.col("n") < place) & (place <= F.col("cum_n")), F.col("x"))
+    low, high = F.floor((F.col("all_n") + 1) / 2), F.floor(F.col("all_n") / 2) + 1
+    mid = c.groupBy(*by, "m").agg(((F.max(covers(low)) + F.max(covers(high))) / 2).alias("mid"))
+    return mid.groupBy(*by).pivot("m", values).agg(F.max("mid")).withColumnsRenamed({v: f"median_{v}" for v in values})
+
+
 def _scored(rows: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
     ok = rows.where(F.col(score).isNotNull() & ~F.isnan(score) & positive.isNotNull())
     return ok.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("pos"), F.sum(F.when(positive, 0).otherwise(1)).alias("neg"))
@@ -122,6 +139,30 @@ def gallery(rows: DataFrame, truth: str, pred: str, score: str, item: str, k: in
     return top.join(rows.groupBy(*cell).agg(F.count("*").alias("total")), cell)
 
 
+def dense_gallery(rows: DataFrame, truth: str, pred: str, score: str, item: str, k: int) -> DataFrame:
+    """gallery() over every true × predicted cell of the four classes; one without rows has a total of 0 and one empty place."""
+    g = gallery(rows, truth, pred, score, item, k)
+    dense = grid(rows.sparkSession).select(F.col("truth").alias("_t"), F.col("pred").alias("_p"))
+    on = (F.col(truth) == F.col("_t")) & (F.col(pred) == F.col("_p"))
+    return dense.join(g, on, "left").select(F.col("_t").alias(truth), F.col("_p").alias(pred), "place", item, score, F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def unusable(rows: DataFrame, truth: str, score: str, by: list[str]) -> DataFrame:
+    """(by..., reason) of runs that no summary can use: without scores, without defects, or with defects only."""
+    ok = F.col(score).isNotNull() & ~F.isnan(score) & F.col(truth).isNotNull()
+    c = rows.groupBy(*by).agg(F.count(F.when(ok, 1)).alias("_n"), F.count(F.when(ok & (F.col(truth) != 0), 1)).alias("_d"))
+    reason = F.when(F.col("_n") == 0, "no scores").when(F.col("_d") == 0, "no defects").when(F.col("_d") == F.col("_n"), "defects only")
+    return c.select(*by, reason.alias("reason")).where("reason is not null")
+
+
+def require_both(rows: DataFrame, truth: str) -> DataFrame:
+    """rows, after an action that looks for normal and defect rows: areas and false alarms need both."""
+    n, d = rows.agg(F.count(truth), F.sum((F.col(truth) != 0).cast("long"))).first()
+    if not n or d in (0, n):
+        raise ValueError("no rows" if not n else f"every crop is {'a defect' if d else 'normal'}; areas and false alarms need both")
+    return rows
+
+
 def mistakes(confused: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Non-empty cells off the diagonal with their rank: most rows first, then by truth and prediction."""
     by = by or []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from jointmill.functions.geometry import bbox, polygon_area, square_crop
 from jointmill.functions.labels import RAW_TO_CLASS
 from jointmill.functions.paths import capture_timestamp, component_hint, crop_key, file_safe_id, lookup, stem
 from jointmill.operators.inventory import described
+from jointmill.operators.joins import guarded_inner
+from jointmill.operators.metrics import medians
 from jointmill.operators.windows import positions
 
 
@@ -42,20 +46,23 @@ def box_stats(records: DataFrame, by: list[str], points: str = "points") -> Data
     """(by..., n, mean and exact median of box width, height and polygon area)."""
     b = bbox(points)
     r = records.select(*by, (b["x1"] - b["x0"]).alias("w"), (b["y1"] - b["y0"]).alias("h"), polygon_area(points).alias("area"))
-    return r.groupBy(*by).agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("w", "h", "area") for k, f in (("mean", F.avg), ("median", F.median))])
+    sizes = ["w", "h", "area"]
+    means = r.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in sizes])
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+    return means.alias("a").join(medians(r, by, sizes).alias("b"), same, "left").select(*[f"a.{c}" for c in by], "n", *[f"{k}_{c}" for c in sizes for k in ("mean", "median")])
 
 
-def manifest(records: DataFrame, splits: DataFrame, margin: float, width: int, height: int) -> DataFrame:
+def manifest(records: DataFrame, splits: DataFrame, margin: float, width: int, height: int, strict: bool = False) -> DataFrame:
     """A row a crop: ids, file, source, labels, split, box of the polygon and of the square crop in the frame.
 
     records: dataset_path, polygon_rank_x, board, package, viewpoint, light_direction, raw_label, class, points,
-    polygon_count, joint_position; splits: crop_id (path#rank), group_id, split. Records without a split are left out;
-    joins.orphans() lists them.
+    polygon_count, joint_position; splits: crop_id (path#rank), group_id, split. Records without a split are left
+    out, and joins.orphans() lists them; a strict manifest refuses them, with an error when it is read.
     """
     b = bbox("points")
     r = records.withColumn("key", crop_key("dataset_path", "polygon_rank_x"))
     s = splits.select(F.col("crop_id").alias("key"), "group_id", "split")
-    j = r.join(s, "key").withColumn("_b", b).withColumn("_c", square_crop(F.col("_b"), margin, F.lit(width), F.lit(height)))
+    j = (guarded_inner(r, s, ["key"], "split of joint") if strict else r.join(s, "key")).withColumn("_b", b).withColumn("_c", square_crop(F.col("_b"), margin, F.lit(width), F.lit(height)))
     ident = file_safe_id("board", "package", "viewpoint", "dataset_path", "polygon_rank_x")
     return j.select(
         ident.alias("crop_id"), F.concat(ident, F.lit(".png")).alias("image_file"), F.col("dataset_path").alias("source_path"), "board", "package", F.col("viewpoint").alias("view_folder"),

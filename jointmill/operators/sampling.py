@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jointmill.functions.scores import digest_number
+
 
 def seeded_order(seed: int, key: Column | str) -> Column:
     """Pseudorandom but fixed order of a key: MD5 of seed and key, as text."""
@@ -47,22 +49,47 @@ def class_weights(counts: DataFrame, label: str, n: str, scheme: str = "inverse"
     return r.select(label, n, (F.col("_w") * F.count("*").over(whole) / F.sum("_w").over(whole)).alias("weight"))
 
 
-def weighted_sample(rows: DataFrame, key: str, label: str, weights: DataFrame, draws: int, seed: int, parts: int = 1024) -> DataFrame:
+#: Rows of a group that are numbered in one window.
+TOGETHER = 50_000
+
+
+def numbered(rows: DataFrame, group: str, key: str, seed: int, together: int = TOGETHER) -> DataFrame:
+    """rows with `place`, from 0: their place in the group in a seeded pseudorandom order of the key.
+
+    The order's numbers are spread evenly, so a group is cut into ranges of them that hold about `together` rows each;
+    ranges are counted first, rows within one placed next, and no task numbers a whole group. Keys should be different.
+    """
+    r = rows.withColumn("_r", digest_number(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 13))
+    sizes = rows.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / together)).alias("_ranges"))
+    r = r.join(sizes, group).withColumn("_range", F.floor(F.col("_r") * (F.col("_ranges") / float(16**13))))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = r.groupBy(group, "_range").agg(F.count("*").alias("_n")).select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(group, "_range").orderBy("_r", key)
+    return r.join(bases, [group, "_range"]).withColumn("place", F.col("_base") + F.row_number().over(within) - 1).drop("_r", "_ranges", "_range", "_base")
+
+
+def weighted_sample(rows: DataFrame, key: str, label: str, weights: DataFrame, draws: int, seed: int, steps: int = 1_000_000) -> DataFrame:
     """`draws` draws with replacement, each row weighing what its label does: (draw, key, label).
 
-    Rows are hashed into parts; a part's share of all weight is a range, and a row's a range within it. Each draw is a
-    fixed uniform number, that finds the part by the ranges of `parts` rows, then the row by a join on part
-    and slot: no range of all rows is ever searched. A row whose weight is null or not positive is never drawn.
+    A label owns whole-number slots, its weight in `steps` times its rows. A draw is a slot number by the MD5 of seed and
+    draw, which names the label, and a second one, which names the place among the label's rows; places are numbers of their
+    own in a seeded order (numbered()), so draws find their rows by an equality join on label and place. Labels are
+    classes, a handful, and reach the driver with a count each. A row whose label is null, or whose weight is null or not
+    positive, is never drawn; without such rows there are no draws. Keys should be different.
     """
-    w = rows.join(F.broadcast(weights.select(label, "weight")), label).where("weight > 0").select(key, label, "weight", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(parts)).cast("int").alias("_p"))
-    order = Window.partitionBy("_p").orderBy(key)
-    w = w.withColumn("_to", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_from", F.col("_to") - F.col("weight"))
-    totals = w.groupBy("_p").agg(F.max("_to").alias("_sum"))
-    span = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.withColumn("_hi", F.sum("_sum").over(span)).withColumn("_all", F.sum("_sum").over(Window.partitionBy(F.lit(0))))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "draw"), 11).cast("double") / float(1 << 53)
-    d = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_u", u)
-    # totals has `parts` rows at most
-    d = d.join(F.broadcast(totals), (F.col("_u") * F.col("_all") < F.col("_hi")) & (F.col("_u") * F.col("_all") >= F.col("_hi") - F.col("_sum")))
-    d = d.select("draw", "_p", (F.col("_u") * F.col("_all") - (F.col("_hi") - F.col("_sum"))).alias("_x"))
-    return d.join(w, "_p").where((F.col("_x") >= F.col("_from")) & (F.col("_x") < F.col("_to"))).select("draw", key, label)
+    counted = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).join(weights.select(label, "weight"), label)
+    known = [(r[label], r["n"], round(r["weight"] * steps) * r["n"]) for r in counted.where("weight > 0").orderBy(label).collect()]
+    known = [k for k in known if k[2] > 0]
+    total, upto, at = sum(k[2] for k in known), 0, []
+    for name, n, slots in known:
+        upto += slots
+        at.append((upto, name, n))
+    spark = rows.sparkSession
+    number = lambda what, of: F.pmod(digest_number(F.concat(F.lit(f"{seed}:{what}:"), F.col("draw").cast("string"))), of)
+    d = spark.range(draws if total else 0).withColumnRenamed("id", "draw").withColumn("_slot", number("slot", F.lit(max(1, total))))
+    which, size = F.lit(None).cast(dict(rows.dtypes)[label]), F.lit(None).cast("long")
+    for upto, name, n in reversed(at):
+        which, size = F.when(F.col("_slot") < upto, F.lit(name)).otherwise(which), F.when(F.col("_slot") < upto, F.lit(n)).otherwise(size)
+    d = d.select("draw", which.alias(label), size.alias("_size")).withColumn("place", number("row", F.col("_size")))
+    placed = numbered(rows.where(F.col(label).isNotNull()).select(key, label), label, key, seed)
+    return d.join(placed, [label, "place"]).select("draw", key, label)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,6 +21,21 @@ def _parts(digits: int, n: int) -> list[tuple[int, int]]:
     return [(a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def embedded(rows: DataFrame, keep: list[str], payload: list[str], feature: Callable[[pd.DataFrame], list[list[float]]], batch: int = 16, name: str = "vector") -> DataFrame:
+    """rows' `keep` columns with the vector that an injected function makes of the payload, asked for `batch` rows at a time.
+
+    The function goes to the workers with the plan; a row for which it gives None has a null vector.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            vectors = [v for i in range(0, len(b), batch) for v in feature(b[payload].iloc[i : i + batch])]
+            yield b[keep].assign(**{name: pd.Series([None if v is None else [float(x) for x in v] for v in vectors], index=b.index, dtype=object)})
+
+    return rows.select(*dict.fromkeys([*keep, *payload])).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` array<double>")
+
+
 #: Candidate pairs of one shared part that are compared without cutting further, and how often parts are cut.
 PART_PAIRS, LEVELS = 1_000_000, 3
 

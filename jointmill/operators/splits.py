@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jointmill.functions.labels import CLASSES
+from jointmill.operators.guards import require_domain, require_rows
+from jointmill.operators.metrics import medians
 
 SPLITS = ("train", "val", "test")
 #: Least crops of normal, and of each defect class, in val and in test.
@@ -106,6 +108,48 @@ def choose(crops: DataFrame, group: str, label: str, ratios=(0.6, 0.2, 0.2), num
     return out, Choice(best["candidate"], best["class_deviation"], best["size_deviation"], len(rows), len(good), tally)
 
 
+def defect_classes(crops: DataFrame, label: str) -> DataFrame:
+    """Different classes but normal."""
+    return crops.where(F.col(label) != "normal").select(label).distinct()
+
+
+def group_counts(crops: DataFrame, split: str, group: str, splits=SPLITS) -> DataFrame:
+    """(split, groups): different groups of every split, 0 where there is none."""
+    frame = crops.sparkSession.createDataFrame([(s,) for s in splits], f"{split} string")
+    return frame.join(crops.groupBy(split).agg(F.count_distinct(group).alias("groups")), split, "left").na.fill(0, ["groups"])
+
+
+def gate(crops: DataFrame, split: str, group: str, label: str, labels=CLASSES) -> DataFrame:
+    """(gate, split, class, found, needed) of every gate that an assignment fails; no rows if it passes.
+
+    G1: groups that lie in several splits (found), of which none may; G2 and G3: normal and defect crops of val and test.
+    """
+    g1 = leaks(crops, group, split).agg(F.count("*").alias("found")).where("found > 0")
+    g1 = g1.select(F.lit("G1").alias("gate"), F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("class"), "found", F.lit(0).alias("needed"))
+    m = gate_margins(dense_counts(crops, split, label, labels=labels), split, label).where("slack < 0")
+    low = m.select(F.when(F.col(label) == "normal", "G2").otherwise("G3").alias("gate"), F.col(split).alias("split"), F.col(label).alias("class"), F.col("n").alias("found"), F.col("floor").alias("needed"))
+    return g1.unionByName(low)
+
+
+def class_counts_of(manifest: DataFrame, split: str, label: str = "label", of: str = "split", labels=CLASSES) -> DataFrame:
+    """(label, n) of one split over all classes, 0 where there is none; an unknown label, or a split without rows, raises."""
+    own = require_rows(manifest.where(F.col(of) == split), f"split {split}")
+    n = require_domain(own, label, list(labels)).groupBy(label).agg(F.count("*").alias("n"))
+    frame = manifest.sparkSession.createDataFrame([(c,) for c in labels], f"{label} string")
+    return frame.join(n, label, "left").na.fill(0, ["n"])
+
+
+def crop_summary(manifest: DataFrame, merged_from: str = "merged_from") -> DataFrame:
+    """One row on a run of crops: crops, merged, crops a split and a class, and the whole-number median crop size."""
+    count = lambda c, v: F.sum((F.col(c) == v).cast("long"))
+    sums = manifest.agg(
+        F.count("*").alias("crops"), F.sum((F.coalesce(merged_from, F.lit("")) != "").cast("long")).alias("merged"),
+        *[count("split", s).alias(s) for s in SPLITS], *[count("label", c).alias(c) for c in CLASSES],
+    )
+    mid = medians(manifest.select(F.lit(0).alias("_k"), "crop_w", "crop_h"), ["_k"], ["crop_w", "crop_h"])
+    return sums.crossJoin(F.broadcast(mid.select(*[F.col(f"median_{c}").cast("int").alias(f"median_{c}") for c in ("crop_w", "crop_h")])))
+
+
 def leaks(crops: DataFrame, group: str, split: str = "split") -> DataFrame:
     """(group, splits): groups that lie in more than one split."""
     return crops.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")

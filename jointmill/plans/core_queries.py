@@ -379,7 +379,11 @@ def largest_gap_clusters(spark, d):
     return windows.largest_gap_clusters(r, ["dataset_path"], "x", "record_id").select("record_id", "cluster")
 
 
-_MERGED = f"""{_CLUSTERS}, k as (select *, case class when 'insufficient' then 0 when 'spike' then 1 when 'excess' then 2 when 'normal' then 3 end as p from cl where class is not null),
+_CLASSED = f"""{RECORDS}, x as (select *, (bx0 + bx1) / 2 as x from box),
+g as (select *, row_number() over w as rn, lead(x) over w - x as gap from x where class is not null window w as (partition by dataset_path order by x, record_id)),
+cut as (select dataset_path, arg_max(rn, (gap, -rn)) as cut from g where gap is not null group by 1),
+cl as (select g.*, case when cut is null or rn <= cut then 1 else 2 end as cluster from g left join cut using (dataset_path))"""
+_MERGED = f"""{_CLASSED}, k as (select *, case class when 'insufficient' then 0 when 'spike' then 1 when 'excess' then 2 when 'normal' then 3 end as p from cl),
 o as (select *, row_number() over (partition by dataset_path, cluster order by x, record_id) as r, row_number() over (partition by dataset_path, cluster, class order by x, record_id) as c from k),
 q as (select *, min(r) over (partition by dataset_path, cluster, class) as f, min(p * 1000000 + r) over (partition by dataset_path, cluster) = p * 1000000 + r as kept from o),
 m as (select dataset_path, cluster, max(record_id) filter (where kept) as record_id, max(class) filter (where kept) as class, count(*) as n, min(bx0) as x0, min(by0) as y0, max(bx1) as x1, max(by1) as y1,
@@ -396,9 +400,6 @@ def merged_joints(spark, d):
     return j.select("dataset_path", "record_id", "class", "merged_from", "n", "x0", "y0", "x1", "y1", "polygon_rank_x", "polygon_count", "joint_position")
 
 
-_SQL["merged_joints"] = _SQL["merged_joints"].replace("from cl where class is not null", "from cl").replace("lead(x) over w - x as gap from x window", "lead(x) over w - x as gap from x where class is not null window")
-
-
 @query(f"""with {RECORDS} select dataset_path, arg_min(image_name, record_id) as image_name, arg_min(board, record_id) as board, arg_min(package, record_id) as package, count(*) as records,
 min(bx0) as x0, min(by0) as y0, max(bx1) as x1, max(by1) as y1, coalesce('C' || nullif(regexp_extract(regexp_replace(regexp_replace(dataset_path, '^.*/', ''), '\\.[^.]*$', ''), '_C(\\d+)$', 1), ''), '') as component_hint from box group by 1""")
 def photo_records(spark, d):

@@ -9,12 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Thresholds of two published reports, which threshold_of() takes: bits of 256, cosine.
-THRESHOLDS = {"coarse": None, "phash": 100, "embed": 0.88}
-#: The grouping methods' own defaults in the reference, which the pipeline takes.
-DEFAULT_THRESHOLDS = {"coarse": None, "phash": 10, "embed": 0.98}
+#: Default thresholds of the grouping methods: none, bits of 256, cosine.
+THRESHOLDS = {"coarse": None, "phash": 10.0, "embed": 0.98}
 
-#: Settings of a training run: default, and what a value must satisfy.
+#: Settings of a training run with their defaults, and what a value must satisfy.
 SETTINGS: dict[str, tuple[object, object]] = {
     "model": ("resnet50.a1_in1k", lambda v: bool(v)),
     "optimizer": ("sgd", lambda v: v in ("sgd", "adam")),
@@ -101,7 +99,7 @@ def load_taxonomy(path: str) -> tuple[dict[str, str], set[str]]:
 def threshold_of(method: str, given: float | None = None) -> float | int | None:
     """Given threshold or the method's own; bits are whole."""
     t = THRESHOLDS[method] if given is None else given
-    return int(t) if method == "phash" else t
+    return int(t) if method == "phash" and t is not None else t
 
 
 def tolerance_of(text: str | None, fallback: float | None) -> float | None:
@@ -115,7 +113,7 @@ def tolerance_of(text: str | None, fallback: float | None) -> float | None:
 
 
 def mean_std_text(mean: float | None, std: float | None, n: int, real: int) -> str:
-    """`0.812 ± 0.034`; a dash for the deviation of one value, n/a for none, and how many were left out."""
+    """Mean ± deviation to three places; a dash for the deviation of one value, n/a for none, and how many were left out."""
     if not real or mean is None or math.isnan(mean):
         return "n/a"
     left = f" ({n - real} n/a)" if n > real else ""

@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
-def _run_dir(spark: SparkSession) -> str:
+def run_dir(spark: SparkSession) -> str:
     """Folder of this application's tables below the shared one; it goes when the driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _runs:
@@ -93,7 +93,7 @@ def written(df: DataFrame, note: str = "step") -> DataFrame:
     It goes by dropped(), at the end of the scope() it was written in, or when the driver ends, whichever comes first.
     """
     spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{note}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{note}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if getattr(_local, "paths", None) is not None:
         _local.paths.append(path)

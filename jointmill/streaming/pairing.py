@@ -1,7 +1,7 @@
 """Hand-made pairs as a stream: sessions arrive as files, components follow.
 
 The reference keeps the groups of one tagging session in memory and writes them after every change. Here sessions are an
-append-only log; each micro-batch adds its sets to a table and rewrites the components of all of it.
+append-only log; each micro-batch joins its edges to the roots stored so far and maps the roots that change.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jointmill.functions.paths import plain_path
 from jointmill.operators.components import connected_components
+from jointmill.session import scope
+from jointmill.sources.tables import exists
 
 SESSIONS = "tag_id bigint, cell string, version int, note string, member_groups array<array<string>>, saved_at timestamp_ntz"
 
@@ -26,13 +28,39 @@ def edges_of(sessions: DataFrame) -> DataFrame:
 def follow(spark: SparkSession, inbox: str, log: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Follow the session files of `inbox`; keep edges in `log` and the components in `out`, both Parquet.
 
-    A batch's edges go to a folder of the batch's number, which a repeated batch overwrites, so each counts once.
+    A batch's edges go to a folder of the batch's number, which a repeated batch overwrites, so each counts once. Only the
+    batch's edges are looked at: their ends are replaced by the roots stored so far, components are found among these
+    roots, and the stored roots are then mapped in one pass. The new table is written beside the old one and takes its
+    place by renaming, so a reader never sees half of it; a batch that is repeated after that changes nothing.
     """
+    jvm = spark._jvm.org.apache.hadoop.fs
+
+    def swap(new: str) -> None:
+        fs = jvm.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+        old = jvm.Path(f"{out}-old")
+        fs.delete(old, True)
+        if fs.exists(jvm.Path(out)):
+            fs.rename(jvm.Path(out), old)
+        fs.rename(jvm.Path(new), jvm.Path(out))
+        fs.delete(old, True)
 
     def step(batch: DataFrame, number: int) -> None:
-        edges_of(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
-        edges = batch.sparkSession.read.option("basePath", log).parquet(log)
-        connected_components(edges).write.mode("overwrite").parquet(out)
+        own = batch.sparkSession
+        with scope(own):
+            edges_of(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
+            edges = own.read.parquet(f"{log}/batch={number}").select("a", "b")
+            if not exists(own, out) and exists(own, f"{out}-old"):  # a swap that was cut short
+                jvm.Path(out).getFileSystem(own._jsc.hadoopConfiguration()).rename(jvm.Path(f"{out}-old"), jvm.Path(out))
+            stored = own.read.parquet(out) if exists(own, out) else own.createDataFrame([], "node string, root string")
+            root = lambda end: F.coalesce(F.col(f"{end}_root"), F.col(end)).alias(end)
+            of = lambda end: stored.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+            among = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(root("a"), root("b"))
+            moved = connected_components(among).select(F.col("node").alias("root"), F.col("root").alias("new"))
+            kept = stored.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+            fresh = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(stored.select("node"), "node", "left_anti")
+            fresh = fresh.join(moved.select(F.col("root").alias("node"), "new"), "node", "left").select("node", F.coalesce("new", "node").alias("root"))
+            kept.unionByName(fresh).write.mode("overwrite").parquet(f"{out}-next")
+        swap(f"{out}-next")
 
     stream = spark.readStream.schema(SESSIONS).parquet(inbox)
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

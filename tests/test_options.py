@@ -37,7 +37,7 @@ def test_settings(tmp_path):
 
 
 def test_texts(spark):
-    assert options.threshold_of("phash", 99.9) == 99 and options.threshold_of("embed") == 0.88
+    assert options.threshold_of("phash", 99.9) == 99 and [options.threshold_of(m) for m in ("coarse", "phash", "embed")] == [None, 10, 0.98]
     assert [options.tolerance_of(t, 0.5) for t in (None, "full", "x", "-1", "2")] == [0.5, None, 0.5, 0.0, 2.0]
     assert options.mean_std_text(0.8125, 0.034, 3, 2) == "0.812 ± 0.034 (1 n/a)"
     assert options.mean_std_text(0.5, None, 1, 1) == "0.500 ± —" and options.mean_std_text(math.nan, None, 2, 0) == "n/a"
