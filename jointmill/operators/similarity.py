@@ -40,50 +40,55 @@ def embedded(rows: DataFrame, keep: list[str], payload: list[str], feature: Call
 PART_PAIRS, LEVELS = 1_000_000, 3
 
 
-def near_classes(left: DataFrame, right: DataFrame, block: list[str], limit: int, digits: int = 64, once: bool = False, part_pairs: int = PART_PAIRS) -> DataFrame:
-    """(block..., wa, wb, distance): fingerprints of left and right that lie in one block and within `limit` bits.
+def print_class(block: list[str], w: str = "w") -> Column:
+    """128-bit key of a fingerprint in its block; unlike fingerprints of 10**12 share one with odds of about 10**-15."""
+    return F.struct(F.xxhash64(*block, w).alias("a"), F.xxhash64(F.lit("again"), *block, w).alias("b"))
 
-    left and right hold different (block..., w), w as print_words() makes it; `once` keeps wa < wb only. Fingerprints
-    within the limit agree in one of limit + 1 parts, so those that share a part are compared. A part that too many
-    share, such as a dark corner, is cut further: of the digits outside it, limit + 1 parts are taken again, one of which
-    must agree too. After LEVELS cuts the pairs of a part that is still hot are made by many tasks. No pair is lost.
+
+def near_classes(left: DataFrame, right: DataFrame, limit: int, digits: int = 64, once: bool = False, part_pairs: int = PART_PAIRS) -> DataFrame:
+    """(ida, idb, distance): fingerprints of left and right that lie in one block and within `limit` bits.
+
+    left and right hold different (id, block, w): print_class(), a hash of the block, and print_words(); `once` keeps
+    ida < idb only. Fingerprints within the limit agree in one of limit + 1 parts, so those that share a part are compared.
+    A part that too many share, such as a dark corner, is cut further: of the digits outside it, limit + 1 parts are
+    taken again, one of which must agree too. After LEVELS cuts the pairs of a part that is still hot are made by many
+    tasks. No pair is lost.
     """
     if limit + 1 > digits // 4:
         raise ValueError("parts below four digits bring nearly everything together")
 
-    def cut(rows: DataFrame, rest: Column, length: int) -> tuple[DataFrame, int]:
+    def cut(rows: DataFrame, key: Column, rest: Column, length: int) -> tuple[DataFrame, int]:
         parts = _parts(length, limit + 1)
         left_over = length - max(n for _, n in parts)
         others = lambda at, n: F.substring(F.concat(F.substring(rest, 1, at - 1), F.substring(rest, at + n, length)), 1, left_over)
-        keys = F.array(*[F.struct(F.xxhash64("key", F.lit(i), F.substring(rest, at, n)).alias("key"), others(at, n).alias("rest")) for i, (at, n) in enumerate(parts)])
-        return rows.withColumn("_k", F.explode(keys)).select(*block, "w", F.col("_k.key").alias("key"), F.col("_k.rest").alias("rest")), left_over
+        keys = F.array(*[F.struct(F.xxhash64(key, F.lit(i), F.substring(rest, at, n)).alias("key"), others(at, n).alias("rest")) for i, (at, n) in enumerate(parts)])
+        return rows.withColumn("_k", F.explode(keys)).select("id", "w", F.col("_k.key").alias("key"), F.col("_k.rest").alias("rest")), left_over
 
     def near(pairs: DataFrame) -> DataFrame:
         if once:
-            pairs = pairs.where("wa < wb")
-        return pairs.withColumn("distance", hamming_words(F.col("wa"), F.col("wb"), digits)).where(F.col("distance") <= limit).select(*block, "wa", "wb", "distance")
+            pairs = pairs.where("ida < idb")
+        return pairs.withColumn("distance", hamming_words(F.col("wa"), F.col("wb"), digits)).where(F.col("distance") <= limit).select("ida", "idb", "distance")
 
-    named = lambda rows: [d.drop("rest").withColumnRenamed("w", w) for d, w in zip(rows, ("wa", "wb"), strict=True)]
-    start = [d.select(*block, "w", F.xxhash64(*block).alias("key")) for d in (left, right)]
-    cuts = [cut(d, word_digits(F.col("w"), digits), digits) for d in start]
+    named = lambda rows: [d.select("key", F.col("id").alias(f"id{n}"), F.col("w").alias(f"w{n}")) for d, n in zip(rows, "ab", strict=True)]
+    cuts = [cut(d, F.col("block"), word_digits(F.col("w"), digits), digits) for d in (left, right)]
     found: list[DataFrame] = []
     for level in range(LEVELS):
         sides, length = [d for d, _ in cuts], cuts[0][1]
-        l, r = (d.groupBy("key").agg(F.count("*").alias(n)) for d, n in zip(sides, ("_l", "_r"), strict=True))
-        hot = written(l.join(r, "key").where(F.col("_l").cast("double") * F.col("_r") > part_pairs), "hot-parts")
+        keyed = sides[0].select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(sides[1].select("key", F.lit(0).alias("l"), F.lit(1).alias("r")))
+        hot = written(keyed.groupBy("key").agg(F.sum("l").alias("_l"), F.sum("r").alias("_r")).where(F.col("_l").cast("double") * F.col("_r") > part_pairs), "hot-parts")
         slim = named(sides)
         if hot.isEmpty():
             dropped(hot)
-            found.append(near(slim[0].join(slim[1], [*block, "key"])))
+            found.append(near(slim[0].join(slim[1], "key")))
             break
         cold = [d.join(hot.select("key"), "key", "left_anti") for d in slim]
-        found.append(near(cold[0].join(cold[1], [*block, "key"])))
+        found.append(near(cold[0].join(cold[1], "key")))
         total = hot.agg(F.sum("_l"), F.sum("_r")).first()
         warm = [written(skew_safe_lookup(d, hot.select("key", n), "key", n, t), "hot-rows") for d, n, t in zip(sides, ("_l", "_r"), total, strict=True)]
         if level == LEVELS - 1:
-            found.append(near(many_to_many(*named(warm), [*block, "key"])))
+            found.append(near(many_to_many(*named(warm), ["key"])))
         else:
-            cuts = [cut(d, F.col("rest"), length) for d in warm]
+            cuts = [cut(d, F.col("key"), F.col("rest"), length) for d in warm]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -120,12 +125,12 @@ def hamming_pairs(rows: DataFrame, block: list[str], item: str, fingerprint: str
     block are compared, in tiles that are tasks of equal size however large the block. Null fingerprints and items match nothing.
     """
     r = rows.select(*block, F.col(item).alias("_item"), F.col(fingerprint).alias("_print")).na.drop()
-    r = r.select(*block, "_item", print_words("_print", digits).alias("w"))
+    r, names = r.select(*block, "_item", print_words("_print", digits).alias("w")), block
     cls = r.groupBy(*block, "w").agg(F.min("_item").alias("_first"))
     if limit + 1 <= digits // 4:
-        kinds = cls.select(*block, "w")
-        near, key = near_classes(kinds, kinds, block, limit, digits, once=True), "w"
-        ends = ("wa", "wb")
+        kinds = r.select(print_class(block).alias("id"), F.xxhash64(*block).alias("block"), "w").groupBy("id", "block").agg(F.first("w").alias("w"))
+        near, key, ends = near_classes(kinds, kinds, limit, digits, once=True), "id", ("ida", "idb")
+        r, cls, block = r.withColumn("id", print_class(block)), kinds, []
     else:
         kind = dict(cls.dtypes)["_first"]
 
@@ -147,10 +152,10 @@ def hamming_pairs(rows: DataFrame, block: list[str], item: str, fingerprint: str
         near, key, ends = near.withColumnsRenamed({f"b{n}": c for n, c in enumerate(block)}), "_first", ("fa", "fb")
         r = r.join(cls, [*block, "w"])
     same = cls.select(*block, *[F.col(key).alias(e) for e in ends], F.lit(0).alias("distance"))
-    a, b = (r.select(*block, F.col("_item").alias(x), F.col(key).alias(e)) for x, e in zip(("x", "y"), ends, strict=True))
+    a, b = (r.select(*(names if x == "x" else block), F.col("_item").alias(x), F.col(key).alias(e)) for x, e in zip(("x", "y"), ends, strict=True))
     found = many_to_many(near.select(*block, *ends, "distance").unionByName(same).join(a, [*block, ends[0]]), b, [*block, ends[1]])
     found = found.where((F.col(ends[0]) != F.col(ends[1])) | (F.col("x") < F.col("y")))
-    return found.select(*block, F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), "distance")
+    return found.select(*names, F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), "distance")
 
 
 def spanning_edges(words: np.ndarray, limit: int) -> list[tuple[int, int, int]]:

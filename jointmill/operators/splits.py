@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jointmill.functions.labels import CLASSES
+from jointmill.functions.scores import digest_number
 from jointmill.operators.guards import require_domain, require_rows
 from jointmill.operators.metrics import medians
 
@@ -188,6 +189,6 @@ def split_fingerprint(rows: DataFrame, item: str, split: str, by: list[str], par
 
     Equal assignments have equal fingerprints whatever their order and partitioning; copies count.
     """
-    r = rows.withColumn("_line", F.concat(F.col(item), F.lit(","), F.col(split))).withColumn("_p", F.pmod(F.xxhash64(item), F.lit(parts)))
+    r = rows.withColumn("_line", F.concat(F.col(item), F.lit(","), F.col(split))).withColumn("_p", F.pmod(digest_number(F.col(item), 8), F.lit(parts)))
     small = r.groupBy(*by, "_p").agg(F.sha2(F.expr("listagg(_line, '\\n') within group (order by _line)"), 256).alias("h"), F.count("*").alias("k"))
     return small.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"), F.sum("k").alias("n"))

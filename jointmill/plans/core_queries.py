@@ -281,8 +281,11 @@ def split_hash(spark, d):
     return splits.split_hash(a, "crop_id", "split", ["seed", "choice_index"])
 
 
-@query(None)
+@query(f"""with a as (select distinct seed, choice_index, {_PLAIN_ID} as crop_id, {split_name('split')} as split from assignments),
+p as (select seed, choice_index, ('0x' || substr(md5(crop_id), 1, 8))::bigint % 4096 as part, sha256(string_agg(crop_id || ',' || split, chr(10) order by crop_id || ',' || split)) as h, count(*) as k from a group by 1, 2, 3)
+select seed, choice_index, sha256(string_agg(h, '' order by h)) as fingerprint, sum(k)::bigint as n from p group by 1, 2""")
 def split_fingerprint(spark, d):
+    """Content hash of every frozen choice from the digests of hash parts, which scales."""
     a = table(spark, d, "assignments").select("seed", "choice_index", paths.plain_crop_id("crop_id").alias("crop_id"), labels.split_name("split").alias("split")).distinct()
     return splits.split_fingerprint(a, "crop_id", "split", ["seed", "choice_index"])
 
@@ -321,7 +324,12 @@ def largest_and_sampled_groups(spark, d):
     return sampling.largest_and_sample(g, "group_id", "n", 10, 20, 7)
 
 
-@query(None)
+@query(f"""with {CROPS}, c as (select * from cr where class is not null), k as (select class, count(*) as n from c group by 1), w as (select class, n, (1.0::double / n) * (count(*) over ()) / sum(1.0::double / n) over () as weight from k),
+s as (select class, n, round(weight * 1000000)::bigint * n as slots from w), u as (select *, sum(slots) over (order by class) as upto, sum(slots) over () as total from s),
+p as (select class, crop_id, row_number() over (partition by class order by ('0x' || substr(md5('7:' || crop_id), 1, 13))::bigint, crop_id) - 1 as place from c),
+i as (select unnest(range((select count(*) from c))) as draw), h as (select draw, ('0x' || substr(md5('7:slot:' || draw), 1, 15))::bigint as a, ('0x' || substr(md5('7:row:' || draw), 1, 15))::bigint as b from i),
+e as (select draw, class, b % n as place from h join u on a % total < upto and a % total >= upto - slots)
+select draw, crop_id, class from e join p using (class, place)""")
 def weighted_sample(spark, d):
     """As many draws as crops, classes evened out by inverse frequency."""
     c = crops(spark, d).where("class is not null")

@@ -345,19 +345,6 @@ def reviewed_photos(spark, d):
     return few.unionByName(p.where("n = 3").select("dataset_path", F.lit("three").alias("why")))
 
 
-@query(f"""with {CROPS}, c as (select * from cr where class is not null), k as (select class, count(*) as n from c group by 1), w as (select class, n, (1.0::double / n) * (count(*) over ()) / sum(1.0::double / n) over () as weight from k),
-s as (select class, n, round(weight * 1000000)::bigint * n as slots from w), u as (select *, sum(slots) over (order by class) as upto, sum(slots) over () as total from s),
-p as (select class, crop_id, row_number() over (partition by class order by ('0x' || substr(md5('7:' || crop_id), 1, 13))::bigint, crop_id) - 1 as place from c),
-i as (select unnest(range((select count(*) from c))) as draw), h as (select draw, ('0x' || substr(md5('7:slot:' || draw), 1, 15))::bigint as a, ('0x' || substr(md5('7:row:' || draw), 1, 15))::bigint as b from i),
-e as (select draw, class, b % n as place from h join u on a % total < upto and a % total >= upto - slots)
-select draw, crop_id, class from e join p using (class, place)""")
-def balanced_draws(spark, d):
-    """As many draws with replacement as there are crops, every class alike."""
-    c = crops(spark, d).where("class is not null")
-    n = c.groupBy("class").agg(F.count("*").alias("n"))
-    return sampling.weighted_sample(c, "crop_id", "class", sampling.class_weights(n, "class", "n"), c.count(), 7)
-
-
 @query(f"with {RECORDS}, v as (select record_id, unnest(points) as p, generate_subscripts(points, 1) as i from rec) select record_id, i::int as i, round_even(p[1] + 0.5, 0)::int as x, round_even(p[2] + 0.5, 0)::int as y from v")
 def drawn_vertices(spark, d):
     """Vertices on whole pixels, halves to the even one; all are moved by half a pixel, as the outlines stand on whole ones."""

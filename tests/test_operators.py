@@ -121,12 +121,13 @@ def test_hot_parts_are_cut_further(spark, rows, monkeypatch):
     rng = random.Random(9)
     base = [(rng.getrandbits(64) << 192) if k % 2 else rng.getrandbits(256) for k in range(20)]
     prints = list({p: 0 for b in base for p in (b, *(b ^ sum(1 << k for k in rng.sample(range(256), n)) for n in (1, 9, 10, 11, 12)))})
-    cls = frame(spark, [("c", f"{p:064x}") for p in prints] + [("d", f"{p:064x}") for p in prints[:30]], "cell string, p string").select("cell", scores.print_words("p").alias("w"))
-    want = {(c, p, q) for c, ps in (("c", prints), ("d", prints[:30])) for p in ps for q in ps if bin(p ^ q).count("1") <= 10}
+    cls = frame(spark, [("c", f"{p:064x}") for p in prints] + [("d", f"{p:064x}") for p in prints[:30]], "cell string, p string").withColumn("w", scores.print_words("p"))
+    cls = cls.select(similarity.print_class(["cell"]).alias("id"), F.xxhash64("cell").alias("block"), "w", F.concat("cell", "p").alias("name"))
+    want = {(f"{c}{p:064x}", f"{c}{q:064x}") for c, ps in (("c", prints), ("d", prints[:30])) for p in ps for q in ps if bin(p ^ q).count("1") <= 10}
+    name = {tuple(r["id"]): r["name"] for r in cls.collect()}
     for part_pairs in (1 << 30, 40, 1):
-        got = similarity.near_classes(cls, cls, ["cell"], 10, part_pairs=part_pairs)
-        assert {(r["cell"], int(r["p"], 16), int(r["q"], 16)) for r in got.select("cell", scores.word_digits(F.col("wa")).alias("p"), scores.word_digits(F.col("wb")).alias("q")).collect()} == want
-        assert got.count() == len(want)
+        got = [(name[tuple(r["ida"])], name[tuple(r["idb"])]) for r in similarity.near_classes(cls, cls, 10, part_pairs=part_pairs).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_many_to_many(spark, rows):
