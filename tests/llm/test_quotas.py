@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from jointmill.llm import quotas
@@ -18,6 +20,29 @@ def test_allocate(size, pct, least, have, want):
     assert quotas.allocate(size, pct, least, have) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 400), st.lists(st.tuples(st.sampled_from([0, 1, 5, 10, 33, 50, 100]), st.sampled_from([0, 0, 2, 5, 20]), st.sampled_from([0, 1, 3, 10, 50, 1000])), min_size=1, max_size=7))
+def test_allocation_of_any_plan(size, rows):
+    """Floors and caps hold, the size is met as far as they allow, and no two free categories could be nearer to their shares."""
+    pct, least, have = (list(x) for x in zip(*rows, strict=True))
+    q = quotas.allocate(size, pct, least, have)
+    low = [min(a, b) for a, b in zip(least, have, strict=True)]
+    assert all(a <= x <= b for a, x, b in zip(low, q, have, strict=True))
+    assert sum(q) == max(sum(low), min(size, sum(h if p else a for p, a, h in zip(pct, low, have, strict=True))))
+    free = [i for i in range(len(q)) if pct[i] and low[i] < q[i] < have[i]]
+    for i in free:
+        for j in free:  # both follow one level to within the rounding of one
+            assert abs(q[i] / pct[i] - q[j] / pct[j]) <= 1 / pct[i] + 1 / pct[j]
+
+
+def test_hot_category_is_ranked_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(quotas, "RANKED", 40)
+    t = spark.createDataFrame([(1, 1, "A", 150, "normal", None, 100, 0), (2, 2, "A", 30, "normal", "R1", 100, 0)], TARGETS)
+    small = {(r["target_id"], r["crop_id"]) for r in quotas.target_sample(crops(spark), t)[0].collect()}
+    monkeypatch.setattr(quotas, "RANKED", 5000)
+    assert small == {(r["target_id"], r["crop_id"]) for r in quotas.target_sample(crops(spark), t)[0].collect()} and len(small) == 180
+
+
 def crops(spark):
     rows = [(f"D/A/R1/V2/{i}.jpg", "1", None if i % 2 else "A", "R1", ["normal", "GOOD ", "spike"][i % 3]) for i in range(300)]
     rows += [(f"./D//A/R1/V2/{i}.jpg", " 1", "A", "R1", "Normal") for i in range(0, 30, 3)] + [("D/A/R2/V2/x.jpg", "1", "A", "R2", "excess"), ("D/A/R2/V2/y.jpg", "1", "A", "R2", None), (None, "1", "A", "R2", "excess")]
