@@ -9,7 +9,7 @@ from jointmill.functions.labels import split_name
 from jointmill.functions.paths import board_of, component_number, plain_path, trimmed
 from jointmill.functions.scores import fingerprint_hex, print_words
 from jointmill.operators.joins import many_to_many
-from jointmill.operators.similarity import near_classes
+from jointmill.operators.similarity import near_classes, print_class
 from jointmill.session import dropped, written
 
 #: Two fingerprints are near within so many of 256 bits.
@@ -25,12 +25,12 @@ def canonical(text: Column) -> Column:
 
 
 def split_photos(photos: DataFrame, crops: DataFrame) -> DataFrame:
-    """Facts of every photo that has crops in a split: photo_id, side (train or eval), split, board, package, keys."""
+    """Facts of every photo that has crops in a split, a row a row of photos: photo_id, side (train or eval), split, board, package, keys."""
     p = photos.select(
         "photo_id", plain_path("dataset_path").alias("path"), board_of("board", "dataset_path").alias("board"), "package",
         F.nullif(trimmed("group_id"), F.lit("")).alias("group_id"), component_number("component_hint", "image_name").alias("number"),
-        F.nullif(F.lower("image_name"), F.lit("")).alias("name"), print_words(fingerprint_hex("fingerprint")).alias("w"), fingerprint_hex("fingerprint").isNotNull().alias("readable"),
-    ).where("photo_id is not null and board is not null and package is not null").distinct()
+        F.nullif(F.lower("image_name"), F.lit("")).alias("name"), fingerprint_hex("fingerprint").alias("print"),
+    ).where("photo_id is not null and board is not null and package is not null")
     s = crops.select(plain_path("dataset_path").alias("path"), split_name("split").alias("split")).where("split is not null").distinct()
     return p.join(s, "path").drop("path").withColumn("side", F.when(F.col("split") == "train", "train").otherwise("eval"))
 
@@ -45,7 +45,7 @@ def _keys(p: DataFrame) -> DataFrame:
     keys = [one("group", F.col("group_id"), canonical(F.col("group_id"))), one("number", F.col("number"), F.col("number")), one("name", F.col("name"), canonical(F.col("name")))]
     # values of punctuation only are compared as they are
     keys += [one(kind, F.col(c), F.when(canonical(F.col(c)) == "", F.col(c))) for kind, c in (("group", "group_id"), ("name", "name"))]
-    return p.select("side", "photo_id", "split", "board", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("side", "photo_id", "split", "board", "k.*").distinct()
+    return p.select("side", "photo_id", "split", "board", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("side", "photo_id", "split", "board", "k.*")
 
 
 def _flags(**true: Column) -> list[Column]:
@@ -71,15 +71,15 @@ def cross_split_pairs(photos: DataFrame, crops: DataFrame) -> DataFrame:
     kind = lambda n: F.col("kind") == n
     flags = _flags(same_group=kind("group") & as_is, same_number=kind("number"), same_name=kind("name") & as_is, alike_group=kind("group") & ~as_is, alike_name=kind("name") & ~as_is)
     by_key = many_to_many(left, right, ["key"]).where("e <> t").select("e", "t", "split", "board", *flags)
-    prints = p.where("readable").select("side", "photo_id", "split", "board", "package", "w").distinct()
     block = ["board", "package"]
-    side = lambda s, w: prints.where(f"side = '{s}'").withColumnRenamed("w", w)
-    classes = [written(side(s, "w").select(*block, "w").distinct(), "prints") for s in ("eval", "train")]
-    near = written(near_classes(*classes, block, NEAR), "near-prints")
+    prints = p.where("print is not null").select("side", "photo_id", "split", "board", F.xxhash64(*block).alias("block"), print_class(block, "print").alias("id"), "print")
+    side = lambda s: prints.where(f"side = '{s}'")
+    classes = [written(side(s).groupBy("id", "block").agg(F.first("print").alias("print")).select("id", "block", print_words("print").alias("w")), "prints") for s in ("eval", "train")]
+    near = written(near_classes(*classes, NEAR), "near-prints")
     for c in classes:
         dropped(c)
-    of_eval = near.join(side("eval", "wa").select(*block, "wa", F.col("photo_id").alias("e"), "split"), [*block, "wa"])
-    by_print = many_to_many(of_eval.select(*block, "wb", "e", "split"), side("train", "wb").select(*block, "wb", F.col("photo_id").alias("t")), [*block, "wb"])
+    of_eval = near.join(side("eval").select(F.col("id").alias("ida"), F.col("photo_id").alias("e"), "split", "board"), "ida")
+    by_print = many_to_many(of_eval.select("idb", "e", "split", "board"), side("train").select(F.col("id").alias("idb"), F.col("photo_id").alias("t")), ["idb"])
     by_print = by_print.where("e <> t").select("e", "t", "split", "board", *_flags(near_print=F.lit(True)))
     both = by_key.unionByName(by_print).groupBy("e", "t", "split", "board").agg(*[F.max(r).alias(r) for r in REASONS])
     alike = {"alike_group": F.col("alike_group") & ~F.col("same_group"), "alike_name": F.col("alike_name") & ~F.col("same_name")}
