@@ -148,7 +148,8 @@ def hamming_pairs(rows: DataFrame, block: list[str], item: str, fingerprint: str
 
         kinds = ", ".join(f"b{n} {dict(cls.dtypes)[c]}" for n, c in enumerate(block))
         flat = cls.select(*block, "_first", "w.*")
-        near = _tiled(flat, block, F.col("w0"), tile, close, f"fa {kind}, fb {kind}, distance int, {kinds}")
+        # written, as the planner would take the pairs for as few as the fingerprints
+        near = written(_tiled(flat, block, F.col("w0"), tile, close, f"fa {kind}, fb {kind}, distance int, {kinds}"), "near")
         near, key, ends = near.withColumnsRenamed({f"b{n}": c for n, c in enumerate(block)}), "_first", ("fa", "fb")
         r = r.join(cls, [*block, "w"])
     same = cls.select(*block, *[F.col(key).alias(e) for e in ends], F.lit(0).alias("distance"))
