@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jointmill.functions.scores import ratio
 from jointmill.operators.components import connected_components
-from jointmill.session import written
+from jointmill.operators.windows import global_rank
 
 #: The two viewpoints whose photos are lit from opposite sides.
 LIT = ("V2", "V2.1")
@@ -25,16 +25,10 @@ def with_components(items: DataFrame, item: str, pairs: DataFrame, a: str = "ite
 def group_ids(items: DataFrame, root: str, path: str, method: str) -> DataFrame:
     """items with group_id `<method>_NNN` and group_size; groups are numbered by their smallest path, from 1.
 
-    The number of a group is its place among all groups, so the groups, one row each, are spread over ranges of their
-    smallest paths with equally many a range, whatever starts the paths have in common: ranges are numbered first, groups
-    within them next.
+    The number of a group is its place among all groups: global_rank() finds it, whatever starts the paths have in common.
     """
     g = items.groupBy(root).agg(F.min(path).alias("_first"), F.count("*").alias("group_size"))
-    # written, as ranges are found by sampling and must be the same for both steps
-    g = written(g.repartitionByRange("_first").withColumn("_range", F.spark_partition_id()), "groups")
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = g.groupBy("_range").agg(F.count("*").alias("k")).withColumn("_base", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    g = g.join(base, "_range").withColumn("_n", F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy("_first")))
+    g = global_rank(g, ["_first", root], "_n")
     digits = F.col("_n").cast("string")
     label = F.concat(F.lit(f"{method}_"), F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits))
     return items.join(g.select(root, label.alias("group_id"), "group_size"), root)
@@ -184,7 +178,11 @@ def threshold_sweep(items: DataFrame, item: str, scored_pairs: DataFrame, score:
 
 
 def canonical_groups(sets: DataFrame, members: str) -> DataFrame:
-    """(root, members): overlapping sets united, sets below two members dropped, members sorted."""
+    """(root, members): overlapping sets united, sets below two members dropped, members sorted.
+
+    A group is one row, so one that a person made. Of groups without a bound, take connected_components() of set_edges(), a
+    row a member.
+    """
     s = sets.select(F.array_sort(F.array_distinct(F.filter(members, lambda x: x.isNotNull()))).alias("m")).where(F.size("m") > 1)
     edges = s.select(F.get("m", F.lit(0)).alias("a"), F.explode("m").alias("b"))
     return connected_components(edges).groupBy("root").agg(F.array_sort(F.collect_list("node")).alias("members")).where(F.size("members") > 1)
@@ -213,7 +211,7 @@ def unknown_members(groups: DataFrame, items: DataFrame, item: str) -> DataFrame
 
 
 def hint_groups(items: DataFrame, cell: str, hint: str, item: str) -> DataFrame:
-    """(cell, hint, members) of two or more items with the same non-empty hint in one cell."""
+    """(cell, hint, members) of two or more items with the same non-empty hint in one cell; pair_by_hint() has a row a member."""
     g = items.where(F.coalesce(F.col(hint), F.lit("")) != "").groupBy(cell, hint).agg(F.array_sort(F.collect_set(item)).alias("members"))
     return g.where(F.size("members") > 1)
 

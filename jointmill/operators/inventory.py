@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jointmill.functions.paths import IN_SCOPE, LIGHT, TASKS, extension, file_name, folder, lookup, path_info, stem
+from jointmill.operators.windows import global_rank
 
 #: Extensions of photos.
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
@@ -28,9 +29,8 @@ def value_counts(rows: DataFrame, columns: list[str], name: str = "n") -> DataFr
 
 
 def ranked_counts(rows: DataFrame, column: str) -> DataFrame:
-    """Values with their count and rank: most frequent first, then by value. One row a value reaches the window."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), column)
-    return value_counts(rows, [column]).withColumn("rank", F.row_number().over(w))
+    """Values with their count and rank: most frequent first, then by value, however many values there are."""
+    return global_rank(value_counts(rows, [column]), [F.desc("n"), F.asc(column)]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def name_tokens(name_stem: Column | str) -> Column:

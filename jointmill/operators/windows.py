@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 from jointmill.functions.labels import PRECEDENCE, position_name, precedence
 from jointmill.functions.geometry import rectangle
+from jointmill.session import written
+
+
+def global_rank(rows: DataFrame, order: list[str | Column], name: str = "rank") -> DataFrame:
+    """rows with their place, from 1, in one order over all of them; the order should end in a key.
+
+    Rows are spread over ranges of the order with about equally many a range; ranges are counted first, rows within one
+    placed next, so no task sorts all rows. Written, as ranges are found by sampling and must be the same for both steps.
+    """
+    r = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranked")
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    base = r.groupBy("_range").agg(F.count("*").alias("_k")).select("_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_range").orderBy(*order)
+    return r.join(base, "_range").withColumn(name, F.col("_base") + F.row_number().over(within)).drop("_range", "_base")
 
 
 def rank_within(rows: DataFrame, group: list[str], order: list[str | Column], name: str = "rank") -> DataFrame:

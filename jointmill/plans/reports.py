@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jointmill.functions.labels import CLASSES
 from jointmill.functions.scores import ratio
 from jointmill.operators import grouping
+from jointmill.operators.windows import global_rank
 from jointmill.plans.options import markdown, mean_std_text
 
 #: Miss rates at which an evaluation reports its operating points, and the largest group a usable grouping may have.
@@ -22,7 +23,7 @@ def audit_report(tables: dict[str, DataFrame]) -> str:
     """Report of pipelines.audit(): a section a table, each ordered by its columns."""
     titles = {
         "extensions": "Files by extension", "folders": "Photos by folder", "layouts": "Annotation layouts", "labels": "Labels", "cells": "Cells", "mirrored": "Names in several folders",
-        "tokens": "Name tokens", "segments": "Path segments", "outliers": "Names of another length", "unreadable": "Files without annotations",
+        "coverage": "Joint photos by cell", "brightness": "Brightness by board and setup", "duplicates": "Sample of duplicates", "locations": "Places of annotated photos", "tokens": "Name tokens", "segments": "Path segments", "outliers": "Names of another length", "unreadable": "Files without annotations",
     }
     show = {"outliers": ["path", "n_tokens"]}
     parts = [section(t, markdown(d := tables[k].select(*show[k]) if k in show else tables[k], d.columns[:2])) for k, t in titles.items() if k in tables]
@@ -60,13 +61,21 @@ def split_report(counts: DataFrame, margins: DataFrame, meta: dict) -> str:
     return section("Split", markdown(counts, ["split"])) + "\n" + section("Gates", markdown(margins, ["slack", "split"])) + "\n" + section("Choice", chosen)
 
 
-def verdict(swept: DataFrame, threshold: str = "threshold") -> str:
-    """Whether a swept grouping separates components: its best row's largest group holds no more than four photos."""
-    best = grouping.best_row(swept, threshold).first()
-    if best is None:
+def verdict(swept: DataFrame, threshold: str = "threshold", tolerance: str = "tolerance") -> str:
+    """Whether a swept grouping separates components: a best row's largest group holds no more than four photos.
+
+    Where the sweep was made at several crop tolerances, each has a best row, and the tightest of them counts.
+    """
+    several = tolerance in swept.columns
+    every = swept.select(tolerance).distinct().collect() if several else [None]  # as many as someone swept
+    best = [grouping.best_row(swept if t is None else swept.where(F.col(tolerance).eqNullSafe(F.lit(t[0]))), threshold).first() for t in every]
+    best = [b for b in best if b is not None]
+    if not best:
         return "nothing was swept"
-    said = f"threshold {best[threshold]:g}: {best['merged']} of {best['references']} reference pairs, largest group {best['largest']}"
-    return f"usable at {said}" if best["largest"] <= TIGHT else f"no setting separates components; the best is {said}"
+    row = min(best, key=lambda b: (b["largest"], b[threshold]))
+    at = f"tolerance {row[tolerance]:g}, " if several and row[tolerance] is not None else ""
+    said = f"{at}threshold {row[threshold]:g}: {row['merged']} of {row['references']} reference pairs, largest group {row['largest']}"
+    return f"usable at {said}" if row["largest"] <= TIGHT else f"no setting separates components; the best is {said}"
 
 
 def grouping_report(method: str, swept: DataFrame, chosen: DataFrame | None = None) -> str:
@@ -78,10 +87,18 @@ def grouping_report(method: str, swept: DataFrame, chosen: DataFrame | None = No
 
 
 def sheets(rows: DataFrame, order: list[str], per_sheet: int = 24, by: list[str] | None = None) -> DataFrame:
-    """rows with the sheet and tile they are drawn on, counted from 1 within `by`."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    at = F.row_number().over(w) - 1
-    return rows.withColumn("sheet", (F.floor(at / per_sheet) + 1).cast("int")).withColumn("tile", (at % per_sheet + 1).cast("int"))
+    """rows with the sheet and tile they are drawn on, counted from 1 within `by`, whose rows a person means to look at."""
+    at = F.col("_at") - 1
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else global_rank(rows, order, "_at")
+    return placed.withColumn("sheet", (F.floor(at / per_sheet) + 1).cast("int")).withColumn("tile", (at % per_sheet + 1).cast("int")).drop("_at")
+
+
+def crop_set_text(manifest: DataFrame, split_hash: str) -> str:
+    """What a set of crops holds, as text: its size, classes by number, splits and the hash of the split."""
+    n = {c: {r[c]: r["n"] for r in manifest.groupBy(c).agg(F.count("*").alias("n")).collect()} for c in ("label", "split")}
+    classes = ", ".join(f"{k} {v}" for k, v in sorted(n["label"].items(), key=lambda x: (-x[1], x[0])))
+    parts = ", ".join(f"{s} {n['split'][s]}" for s in ("train", "val", "test") if s in n["split"])
+    return f"{sum(n['label'].values())} crops, one file a joint.\n\nClasses: {classes}\nSplits: {parts}\nSplit hash: {split_hash}\n"
 
 
 def roc_points(sweep: DataFrame) -> DataFrame:

@@ -29,3 +29,16 @@ def test_sheets(spark, rows):
     got = rows(reports.sheets(spark.range(50), ["id"]), "id", "sheet", "tile")
     assert (24, 2, 1) in got and (49, 3, 2) in got and (0, 1, 1) in got
     assert rows(reports.share_table(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string"), "c"), "c", "share")[0] == ("a", 0.5)
+
+
+def test_verdict_over_tolerances(spark):
+    rows = [(0.0, 10.0, 4, 4, 9), (0.0, 20.0, 4, 4, 30), (0.1, 10.0, 3, 4, 3), (None, 5.0, 4, 4, 50)]
+    df = spark.createDataFrame(rows, "tolerance double, threshold double, merged int, references int, largest int")
+    assert reports.verdict(df) == "usable at tolerance 0.1, threshold 10: 3 of 4 reference pairs, largest group 3"
+    assert reports.verdict(df.where("tolerance = 0")).startswith("no setting separates components; the best is tolerance 0, threshold 10")
+    assert reports.verdict(df.limit(0)) == "nothing was swept"
+
+
+def test_crop_set_text(spark):
+    m = spark.createDataFrame([("normal", "val"), ("spike", "train"), ("spike", "train")], "label string, split string")
+    assert reports.crop_set_text(m, "ab12").splitlines() == ["3 crops, one file a joint.", "", "Classes: spike 2, normal 1", "Splits: train 2, val 1", "Split hash: ab12"]

@@ -63,6 +63,43 @@ def test_pixels(spark, tmp_path):
     assert len(got["a.png"]["fingerprint"]) == 64 and apart("a.png", "b.png") <= 10 < apart("a.png", "c.png")
 
 
+def exif(how, order="<"):
+    """The start of a JPEG that says how it is to be turned."""
+    mark = {"<": b"II", ">": b"MM"}[order]
+    tiff = mark + struct.pack(order + "HIH", 42, 8, 2) + struct.pack(order + "HHIHH", 0x0100, 3, 1, 7, 0) + struct.pack(order + "HHIHH", 0x0112, 3, 1, how, 0) + struct.pack(order + "I", 0)
+    body = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
+
+
+def test_orientation(spark, tmp_path):
+    assert [images.orientation(exif(h, o)) for h in (1, 3, 6, 8) for o in "<>"] == [1, 1, 3, 3, 6, 6, 8, 8]
+    for bad in (b"", b"\x89PNG", exif(9), exif(6)[:-24], b"\xff\xd8\xff\xe1\x00\x10Exif\0\0II"):
+        assert images.orientation(bad) == 1
+    a = np.arange(6).reshape(2, 3)
+    want = {1: a, 2: [[2, 1, 0], [5, 4, 3]], 3: [[5, 4, 3], [2, 1, 0]], 4: [[3, 4, 5], [0, 1, 2]], 5: [[0, 3], [1, 4], [2, 5]], 6: [[3, 0], [4, 1], [5, 2]], 7: [[5, 2], [4, 1], [3, 0]], 8: [[2, 5], [1, 4], [0, 3]]}
+    for how, seen in want.items():
+        assert images.turned(a, how).tolist() == np.asarray(seen).tolist()
+    (tmp_path / "a.JPG").write_bytes(exif(6))
+    (tmp_path / "b.jpg").write_bytes(exif(1))
+    assert [r["orientation"] for r in images.orientations(spark, str(tmp_path)).collect()] == [6]
+
+
+def test_crops_as_files(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    photo = rng.integers(0, 255, (40, 60, 3)).astype(np.uint8)
+    (tmp_path / "in" / "D").mkdir(parents=True)
+    (tmp_path / "in" / "D" / "a.png").write_bytes(png(photo))
+    boxes = [("c1", "c1.png", "D/a.png", 5, 6, 25, 36), ("c2", "c2.png", "D/a.png", 50, 30, 80, 60), ("c3", "c3.png", "D/a.png", 70, 0, 80, 9), ("c4", "c4.png", "D/none.png", 0, 0, 5, 5)]
+    m = spark.createDataFrame(boxes, "crop_id string, image_file string, source_path string, crop_x0 int, crop_y0 int, crop_x1 int, crop_y1 int")
+    cut = images.cut_crops(spark, str(tmp_path / "in"), m)
+    assert {r["crop_id"]: r["reason"] for r in cut.collect()} == {"c1": None, "c2": None, "c3": "outside the photo", "c4": "no photo"}
+    images.save_files(cut, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["c1.png", "c2.png"]
+    back = {r["path"].rsplit("/", 1)[1]: np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3)[:, :, ::-1] for r in images.rasters(spark, str(tmp_path / "out")).collect()}
+    assert (back["c1.png"] == photo[6:36, 5:25]).all() and (back["c2.png"] == photo[30:40, 50:60]).all()
+    assert bytes(cut.where("crop_id = 'c1'").first()["content"]) == (tmp_path / "out" / "c1.png").read_bytes()
+
+
 def test_tables(spark, tmp_path, rows):
     df = spark.createDataFrame([("a.jpg", "D/a.jpg", [[1.0, 2.0]], None)], "image_name string, dataset_path string, points array<array<double>>, class string")
     tables.write_csv(df, str(tmp_path / "p"))
