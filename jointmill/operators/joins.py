@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jointmill.functions.labels import class_number
-from jointmill.session import dropped, written
+from jointmill.session import written
 
 #: Rows of one key that a task takes without ado, and how many hotter keys are looked up by a broadcast at most.
 TASK_ROWS, HOT_KEYS = 1_000_000, 100_000
@@ -41,13 +41,12 @@ def many_to_many(left: DataFrame, right: DataFrame, on: list[str], task_pairs: i
     A key with over `task_pairs` pairs is cut: its left rows are dealt to as many parts as that takes, its right rows go to
     every part, so the pairs of a hot key are made by many tasks. Nulls in `on` match nothing.
     """
-    count = lambda d, n: d.select(*on).na.drop().groupBy(*on).agg(F.count("*").alias(n))
+    keys = left.select(*on, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*on, F.lit(0).alias("_l"), F.lit(1).alias("_r"))).na.drop(subset=on)
     pairs = F.col("_l").cast("double") * F.col("_r")
-    hot = count(left, "_l").join(count(right, "_r"), on).where(pairs > task_pairs).withColumn("_parts", F.least("_l", F.ceil(pairs / task_pairs)).cast("int")).drop("_l", "_r")
-    hot = written(hot, "hot")
+    hot = keys.groupBy(*on).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).where(pairs > task_pairs)
     if hot.isEmpty():
-        dropped(hot)
         return left.join(right, on)
+    hot = written(hot.withColumn("_parts", F.least("_l", F.ceil(pairs / task_pairs)).cast("int")).drop("_l", "_r"), "hot")
     parts = F.coalesce("_parts", F.lit(1))
     dealt = left.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), parts).cast("int")).drop("_parts")
     copied = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")

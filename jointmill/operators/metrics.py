@@ -20,7 +20,7 @@ def running_sums(counts: DataFrame, by: list[str], score: str, sums: list[str],
     scores of a key. Quantiles may be approximate: they only say where to cut. Null and NaN scores must have been removed.
     """
     places = [i / RANGES for i in range(1, RANGES)]
-    ends = counts.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx(score, places, F.lit(20 * RANGES)).alias("_q"))
+    ends = counts.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx(score, places, F.lit(4 * RANGES)).alias("_q"))
     step = F.greatest(F.lit(1), F.floor(F.lit(RANGES * together) / F.col("_n")).cast("int"))
     cuts = F.when(F.col("_n") > together, F.array_distinct(F.filter("_q", lambda _, i: (i + 1) % step == 0)))
     ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], cuts.alias("_cuts"))
@@ -42,17 +42,20 @@ def running_sums(counts: DataFrame, by: list[str], score: str, sums: list[str],
 
 
 def medians(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """(by..., median_<v> of each value): exact medians by counts and running_sums(), so no buffer holds a key's values.
+    """(by..., mean_<v>, median_<v>, n_<v> of each value): exact medians by counts and running_sums(), so no buffer holds a
+    key's values, in one pass over the rows.
 
-    Null and NaN values don't count; a key without any has a null median.
+    Null and NaN values don't count; a key without any value is left out.
     """
     long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("x")) for v in values])).alias("_v")).select(*by, "_v.m", "_v.x")
     counts = long.where("x is not null and not isnan(x)").groupBy(*by, "m", "x").agg(F.count("*").alias("n"))
     c = running_sums(counts, [*by, "m"], "x", ["n"])
     covers = lambda place: F.when((F.col("cum_n") - F.col("n") < place) & (place <= F.col("cum_n")), F.col("x"))
     low, high = F.floor((F.col("all_n") + 1) / 2), F.floor(F.col("all_n") / 2) + 1
-    mid = c.groupBy(*by, "m").agg(((F.max(covers(low)) + F.max(covers(high))) / 2).alias("mid"))
-    return mid.groupBy(*by).pivot("m", values).agg(F.max("mid")).withColumnsRenamed({v: f"median_{v}" for v in values})
+    mid = c.groupBy(*by, "m").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), ((F.max(covers(low)) + F.max(covers(high))) / 2).alias("median"), F.sum("n").alias("n"))
+    names = ("mean", "median", "n")
+    wide = mid.groupBy(*by).pivot("m", values).agg(*[F.max(k).alias(k) for k in names])
+    return wide.withColumnsRenamed({f"{v}_{k}": f"{k}_{v}" for v in values for k in names})
 
 
 def _scored(rows: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +45,8 @@ def box_stats(records: DataFrame, by: list[str], points: str = "points") -> Data
     b = bbox(points)
     r = records.select(*by, (b["x1"] - b["x0"]).alias("w"), (b["y1"] - b["y0"]).alias("h"), polygon_area(points).alias("area"))
     sizes = ["w", "h", "area"]
-    means = r.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in sizes])
-    same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
-    return means.alias("a").join(medians(r, by, sizes).alias("b"), same, "left").select(*[f"a.{c}" for c in by], "n", *[f"{k}_{c}" for c in sizes for k in ("mean", "median")])
+    m = medians(r, by, sizes)  # every record has an area, so its number is that of the records
+    return m.select(*by, F.col("n_area").alias("n"), *[f"{k}_{c}" for c in sizes for k in ("mean", "median")])
 
 
 def manifest(records: DataFrame, splits: DataFrame, margin: float, width: int, height: int, strict: bool = False) -> DataFrame:

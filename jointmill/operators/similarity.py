@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from jointmill.functions.scores import hamming_words, print_words, word_digits
 from jointmill.operators.joins import many_to_many, skew_safe_lookup
-from jointmill.session import dropped, written
+from jointmill.session import written
 
 
 def _parts(digits: int, n: int) -> list[tuple[int, int]]:
@@ -75,12 +75,12 @@ def near_classes(left: DataFrame, right: DataFrame, limit: int, digits: int = 64
     for level in range(LEVELS):
         sides, length = [d for d, _ in cuts], cuts[0][1]
         keyed = sides[0].select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(sides[1].select("key", F.lit(0).alias("l"), F.lit(1).alias("r")))
-        hot = written(keyed.groupBy("key").agg(F.sum("l").alias("_l"), F.sum("r").alias("_r")).where(F.col("_l").cast("double") * F.col("_r") > part_pairs), "hot-parts")
+        hot = keyed.groupBy("key").agg(F.sum("l").alias("_l"), F.sum("r").alias("_r")).where(F.col("_l").cast("double") * F.col("_r") > part_pairs)
         slim = named(sides)
         if hot.isEmpty():
-            dropped(hot)
             found.append(near(slim[0].join(slim[1], "key")))
             break
+        hot = written(hot, "hot-parts")
         cold = [d.join(hot.select("key"), "key", "left_anti") for d in slim]
         found.append(near(cold[0].join(cold[1], "key")))
         total = hot.agg(F.sum("_l"), F.sum("_r")).first()
@@ -125,11 +125,11 @@ def hamming_pairs(rows: DataFrame, block: list[str], item: str, fingerprint: str
     block are compared, in tiles that are tasks of equal size however large the block. Null fingerprints and items match nothing.
     """
     r = rows.select(*block, F.col(item).alias("_item"), F.col(fingerprint).alias("_print")).na.drop()
-    r, names = r.select(*block, "_item", print_words("_print", digits).alias("w")), block
+    r, names = written(r.select(*block, "_item", print_words("_print", digits).alias("w")), "prints"), block
     cls = r.groupBy(*block, "w").agg(F.min("_item").alias("_first"))
     if limit + 1 <= digits // 4:
-        kinds = r.select(print_class(block).alias("id"), F.xxhash64(*block).alias("block"), "w").groupBy("id", "block").agg(F.first("w").alias("w"))
-        near, key, ends = near_classes(kinds, kinds, limit, digits, once=True), "id", ("ida", "idb")
+        kinds = written(r.select(print_class(block).alias("id"), F.xxhash64(*block).alias("block"), "w").groupBy("id", "block").agg(F.first("w").alias("w")), "classes")
+        near, key, ends = written(near_classes(kinds, kinds, limit, digits, once=True), "near"), "id", ("ida", "idb")
         r, cls, block = r.withColumn("id", print_class(block)), kinds, []
     else:
         kind = dict(cls.dtypes)["_first"]
