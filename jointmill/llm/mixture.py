@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from jointmill.functions.paths import trimmed
 from jointmill.llm.feistel import permute_range
 from jointmill.llm.tokens import encoded
-from jointmill.session import written
+from jointmill.session import dropped, written
 
 #: Tokens of a block, blocks of an output shard, and shards that one task draws at a time.
 BLOCK, SHARD, TOGETHER = 512, 64, 64
@@ -95,11 +95,6 @@ def entries_of(mixture: DataFrame, totals: DataFrame) -> DataFrame:
     return m.withColumn("short", there < F.coalesce(F.col("weight_pct"), F.lit(0)).cast("decimal(10,0)") * F.coalesce(F.col("budget_tokens"), F.lit(0)))
 
 
-def shortages(mixture: DataFrame, documents: DataFrame, path: str | None = None) -> DataFrame:
-    """Entries of mixture with `short`: what a source holds is counted by the tokenizer, nothing is drawn yet."""
-    return entries_of(mixture, totals_of(by_source(documents, False, path)))
-
-
 def plan(mixture: DataFrame, totals: DataFrame, seed: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(entries of the mixture with what their source holds, slots: mix_id, shard, slot, source, plain, k, block, repeat).
 
@@ -154,29 +149,40 @@ def plan(mixture: DataFrame, totals: DataFrame, seed: int = 0, block: int = BLOC
     return entries, placed
 
 
-def totals_of(counted: DataFrame) -> DataFrame:
-    return counted.groupBy("source").agg(F.sum("n").alias("tokens"))
+def tokens_of(mixture: DataFrame, documents: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(tokens of the documents of the mixture's sources, tokens and documents of each source, documents of the largest one)."""
+    names = mixture.select(F.lower(trimmed("source")).alias("source")).distinct()
+    d = documents.join(F.broadcast(names.withColumnRenamed("source", "_s")), F.lower(trimmed("source")) == F.col("_s"), "left_semi")
+    tokens = written(by_source(d, True, path), "tokens")
+    sizes = written(tokens.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("documents")), "source-totals")
+    return tokens, sizes, sizes.agg(F.max("documents")).first()[0] or 0
 
 
 def report(mixture: DataFrame, documents: DataFrame, seed: int = 0, block: int = BLOCK, path: str | None = None) -> DataFrame:
     """Every entry of mixture with target, available and actual tokens and shares of the mix that results.
 
-    `short` marks sources that can't reach weight_pct of budget_tokens even when each document is used max_repeats
-    times. The actual tokens are those of the blocks that the slots drew; the last block of a source may be partial.
+    The mix is made as mixed() makes it: documents are packed, slots drawn and blocks joined to them by index. What is
+    available is counted in the packed blocks, the actual tokens in those that the slots took; only the tokens themselves
+    are left out of the last join. `short` marks sources that can't reach weight_pct of budget_tokens even when each
+    document is used max_repeats times.
 
     Defined results: sources are compared whatever their case and surrounding blanks; documents without a source
     belong to none; a document without a doc_id, or with a repeated one, counts like any other; a source without
     documents, or null, has 0 tokens; null numbers count as 0. An empty mixture gives an empty report.
     """
-    totals = written(totals_of(by_source(documents, False, path)), "source-totals")
+    tokens, _, most = tokens_of(mixture, documents, path)
+    sizes = written(packed(tokens, most, seed, block).select("source", "block", F.size("ids").alias("n")), "block-sizes")
+    dropped(tokens)
+    totals = written(sizes.groupBy("source").agg(F.sum("n").alias("tokens")), "block-totals")
     entries, slots = plan(mixture, totals, seed, block)
-    last = F.ceil(F.col("available") / block) - 1
-    size = F.when(F.col("block") == last, F.col("available") - last * block).otherwise(F.lit(block))
-    # entries are few and known by their number; the slots' own size is what the planner can't know
+    # slots are counted by block before the join, so the empty ones of a source are one row
+    uses = slots.groupBy("mix_id", "source", "plain", "block").agg(F.count("*").alias("times"))
+    taken = uses.hint("merge").join(sizes.withColumnRenamed("source", "plain"), ["plain", "block"], "left")
+    filled = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0))
+    drawn = taken.groupBy("mix_id", "source").agg(F.sum("times").alias("slots"), filled.alias("filled"), F.sum(F.col("times") * F.col("n")).alias("actual_tokens"))
+    drawn = written(drawn, "drawn")  # a row an entry; the mix is made once, whatever columns are read
+    dropped(sizes)
     same = F.col("u.mix_id").eqNullSafe(F.col("e.mix_id")) & F.col("u.source").eqNullSafe(F.col("e.source"))
-    used = slots.select("mix_id", "source", "block").alias("u").join(F.broadcast(entries.select("mix_id", "source", "available").alias("e")), same).select("u.*", "e.available")
-    full = F.col("block").isNotNull()
-    drawn = used.groupBy("mix_id", "source").agg(F.count("*").alias("slots"), F.count(F.when(full, 1)).alias("filled"), F.sum(F.when(full, size)).alias("actual_tokens"))
     own = ["mix_id", "source", "weight_pct", "max_repeats", "budget_tokens", "available", "short"]
     wide = entries.select(*own).alias("e").join(drawn.alias("u"), same, "left")
     sums = wide.select(*[f"e.{c}" for c in own], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("slots", "filled", "actual_tokens")])
@@ -215,12 +221,7 @@ def packed(tokens: DataFrame, documents: int, seed: int = 0, block: int = BLOCK,
 
 def mixed(mixture: DataFrame, documents: DataFrame, seed: int = 0, block: int = BLOCK, path: str | None = None) -> DataFrame:
     """(mix_id, shard, slot, source, block, repeat, ids) of every filled slot of every mix; see report() and packed() for the rules."""
-    names = mixture.select(F.lower(trimmed("source")).alias("source")).distinct()
-    d = documents.join(F.broadcast(names.withColumnRenamed("source", "_s")), F.lower(trimmed("source")) == F.col("_s"), "left_semi")
-    tokens = written(by_source(d, True, path), "tokens")
-    sizes = tokens.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("documents"))
-    sizes = written(sizes, "source-totals")
-    most = sizes.agg(F.max("documents")).first()[0] or 0
+    tokens, sizes, most = tokens_of(mixture, documents, path)
     _, slots = plan(mixture, sizes, seed, block)
     blocks = packed(tokens, most, seed, block).withColumnRenamed("source", "plain")
     # a merge, as the planner takes the slots for as few as the tasks that draw them

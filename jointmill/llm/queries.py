@@ -129,7 +129,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.shortages(table(spark, sf_dir, "mixture"), table(spark, sf_dir, "documents")).where("short").select("mix_id", "source")
+    return mixture.report(table(spark, sf_dir, "mixture"), table(spark, sf_dir, "documents")).where("short").select("mix_id", "source")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:

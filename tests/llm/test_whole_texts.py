@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jointmill.llm import mixture, pieces
+from jointmill.llm import mixture, pieces, queries
 
 
 def test_mix_of_null_and_repeated_documents(spark):
@@ -28,6 +28,28 @@ def test_mix_of_null_and_repeated_documents(spark):
     assert {r["source"]: (r["n"], r["k"]) for r in out} == said
 
 
+def test_shortages_come_from_the_packed_and_drawn_mix(spark, monkeypatch, tmp_path):
+    """p8_found counts what is in the blocks and puts them into the slots: a block that packing loses makes its source short."""
+    data = [(i, "solder joint ok " * (5 + i % 7), "a" if i % 2 else "B ") for i in range(80)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    have = {r["source"]: r["n"] for r in mixture.by_source(docs, False).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    # a: exactly enough; b: one token less than wanted; none: no documents
+    rows = [(1, " A", 100, 3, 3 * have["a"]), (2, "b", 100, 2, 2 * have["b"] + 1), (3, "none", 100, 2, 0), (4, "none", 50, 2, 40), (4, None, 50, 2, 40)]
+    mix = spark.createDataFrame(rows, "mix_id bigint, source string, weight_pct int, max_repeats int, budget_tokens bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    mix.write.parquet(f"{tmp_path}/mixture.parquet")
+    found = lambda: {tuple(r) for r in queries.p8_found(spark, str(tmp_path)).collect()}
+    assert found() == {(2, "b"), (4, "none"), (4, None)}
+    said = {(r["mix_id"], r["source"]): r for r in queries.p8_report(spark, str(tmp_path)).collect()}
+    out = {(r["mix_id"], r["source"]): r["n"] for r in queries.p8_mix(spark, str(tmp_path)).groupBy("mix_id", "source").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    assert out == {k: r["actual_tokens"] for k, r in said.items() if r["actual_tokens"]} and all(r["actual_tokens"] < r["target_tokens"] for r in said.values() if r["short"])
+    whole, drawn = mixture.packed, []
+    plan = mixture.plan
+    monkeypatch.setattr(mixture, "packed", lambda *a, **k: whole(*a, **k).where("source != 'a' or block > 0"))
+    monkeypatch.setattr(mixture, "plan", lambda *a, **k: drawn.append(a) or plan(*a, **k))
+    assert found() == {(1, " A"), (2, "b"), (4, "none"), (4, None)} and len(drawn) == 1
+
+
 def test_cuts_take_boundaries_outside_the_middle_half():
     some = lambda *places: (np.array(places, np.int64), np.full(len(places), 2, np.int64))
     cuts = lambda total, limit, *places: pieces.bisected(total, limit, *some(*places), np.arange(1, total + 1))
