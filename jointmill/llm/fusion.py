@@ -139,19 +139,6 @@ def source_quality(patterns: DataFrame, settled: float = 1e-3, most: int = 1000)
     return quality, prior
 
 
-def joints(polygons: DataFrame, cell_aggs: dict[str, Column] | None = None, joint_aggs: dict[str, Column] | None = None) -> DataFrame:
-    """(set_id, several, place, joints, joint, ...) of every joint: which records it has, where it lies, what is stated first."""
-    return _per_joint(statements(polygons), cell_aggs or {}, joint_aggs or {})
-
-
-def duplicate_joints(polygons: DataFrame) -> DataFrame:
-    """(set_id, class, polygon_rank_x) of the joints with two or more records.
-
-    These three follow from where the records lie and from the merge order alone, so no quality is learned for them.
-    """
-    return joints(polygons).where("several").select("set_id", class_at("place").alias("class"), F.col("joint").alias("polygon_rank_x"))
-
-
 def learned(polygons: DataFrame) -> tuple[DataFrame, list[float]]:
     """source_quality() of the records of all joints."""
     claims = _per_joint(statements(polygons).select("pa", "pb", "x", "record_id", "place", "source", "bits"), _said(), _merged()).where(F.size("claims") > 0)

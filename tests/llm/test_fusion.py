@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jointmill.llm import fusion
+from jointmill.llm import fusion, queries
 
 SCHEMA = (
     "record_id bigint, image_name string, dataset_path string, board string, package string, viewpoint string, light_direction string, capture_timestamp string, raw_label string, class string,"
@@ -127,3 +127,24 @@ def test_hot_photo_is_aggregated(spark):
     df = spark.range(20000).select(*[F.lit(None).cast(t).alias(n) if n not in ("record_id", "points", "board", "package", "viewpoint", "image_name", "class") else {"record_id": F.col("id"), "points": F.array(F.array(F.col("id") % 1000 * 2.0, F.lit(0.0)))}.get(n, F.lit("normal" if n == "class" else "k")).alias(n) for n, t in (c.split() for c in SCHEMA.split(", "))])
     r = fusion.survivors(df).collect()
     assert len(r) == 1 and (r[0]["set_id"], r[0]["class"], r[0]["polygon_rank_x"]) == (0, "normal", 1)
+
+
+def test_found_joints_are_surviving_records(spark, rows, monkeypatch, tmp_path):
+    """p5_found lists what survivors() makes of all records, the sources' qualities learned; it has no way of its own."""
+    data = [record(10 * j + k, f"p{j}.jpg", 100.0, cls, who=who) for j in range(1, 20) for k, (who, cls) in enumerate([("good", "normal"), ("fine", "GOOD "), ("bad", ("spike", "excess", "?")[j % 3])])]
+    data += [record(1, "q.jpg", 900.0, None), record(2, "q.jpg", 950.0, "x"), record(3, "q.jpg", 100.0, None, None, "spike+normal"), record(4, "q.jpg", None, "spike"), record(None, "q.jpg", 120.0, "spike"), record(3, "q.jpg", 100.0, None, None, "spike+normal")]
+    table(spark, data).write.parquet(f"{tmp_path}/polygons.parquet")
+    learned, calls = fusion.source_quality, []
+    monkeypatch.setattr(fusion, "source_quality", lambda *a, **k: calls.append(learned(*a, **k)) or calls[-1])
+    want = {(10 * j, ("spike", "excess", "normal")[j % 3], 1) for j in range(1, 20)} | {(1, None, 2)}
+    assert {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()} == want
+    assert len(calls) == 1 and {r["source"] for r in calls[0][0].collect()} == {"good/manual", "fine/manual", "bad/manual", "ann/manual"}
+    made = fusion.survivors
+    monkeypatch.setattr(fusion, "survivors", lambda p: made(p).where("set_id <> 10"))
+    assert {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()} == want - {(10, "excess", 1)}
+
+
+def test_found_joints_of_no_records(spark, tmp_path):
+    table(spark, [record(None, "a", 1.0)]).write.parquet(f"{tmp_path}/polygons.parquet")
+    found = queries.p5_found(spark, str(tmp_path))
+    assert found.count() == 0 and found.columns == ["set_id", "class", "polygon_rank_x"]
