@@ -168,6 +168,7 @@ def survivors(polygons: DataFrame) -> DataFrame:
     quality, prior = learned(polygons)
     sizes = written(records.groupBy("source").agg(F.count("*").alias("rows")), "sources")
     trust = sizes.join(quality, "source", "left").select("source", "rows", F.coalesce(F.col("sensitivity") + F.col("specificity") - 1, F.lit(-1.0)).alias("trust"))
+    trust = written(trust, "trust")  # of known size, so few sources reach the records without shuffling these
     records = skew_safe_lookup(records, trust, "source", "rows", sizes.agg(F.sum("rows")).first()[0] or 0)
     order = [F.col("trust").alias("t"), F.col("updated_at").alias("u"), F.col("record_id").alias("r")]
     best = {f: F.max(F.when(trimmed(f) != "", F.struct(*order, F.col(f).alias("v")))) for f in _FIELDS}
